@@ -65,9 +65,9 @@ def index(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
         .withColumn("s", ranked(F.col("line"), common))
         .withColumn("n", F.size("s"))
         .where(n >= min_words)
-        .select("x", "doc_id", "no", "n", F.slice("s", 1, n - low + F.when(n <= SHORT, 2).otherwise(1)).alias("p"))
+        .select("x", "doc_id", "no", "n", parity(F.col("s")).alias("sig"), F.slice("s", 1, n - low + F.when(n <= SHORT, 2).otherwise(1)).alias("p"))
         .groupBy("x")
-        .agg(F.min(F.struct("doc_id", "no")).alias("f"), F.first("n").alias("n"), F.first("p").alias("p"))
+        .agg(F.min(F.struct("doc_id", "no")).alias("f"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("p").alias("p"))
     )
     count = lambda key: F.pow(F.lit(2.0), F.shiftrightunsigned(key, 52) / F.lit(32.0) + F.lit(1 / 32))  # noqa: E731  the bucket's, rounded up
     entry = lambda t, i, c: F.struct(t.alias("t"), i.alias("i"), F.ceil(c / F.lit(GROUP)).cast("int").alias("salts"))
@@ -83,13 +83,25 @@ def index(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
     both = int(SHORT * threshold)
     entries = F.concat(F.when(n > both, one).otherwise(none), F.when((n <= SHORT) & (F.size("p") > 1), two).otherwise(none))
     salt = F.when(F.col("e.salts") > 1, F.pmod(F.xxhash64("x", F.lit(3)), F.col("e.salts")).cast("int")).otherwise(-1)
-    return once.select("x", F.col("f.doc_id").alias("doc_id"), F.col("f.no").alias("no"), "n", F.explode(entries).alias("e")).select(F.col("e.t").alias("t"), salt.alias("salt"), F.col("e.i").alias("i"), "n", "x", "doc_id", "no")
+    return once.select("x", F.col("f.doc_id").alias("doc_id"), F.col("f.no").alias("no"), "n", "sig", F.explode(entries).alias("e")).select(F.col("e.t").alias("t"), salt.alias("salt"), F.col("e.i").alias("i"), "n", "sig", "x", "doc_id", "no")
 
 
-def promising(n: Column, i: Column, m: Column, j: Column, threshold: float) -> Column:
-    """Length and position filters for lines of n and m words that share the i-th and j-th."""
+def parity(s: Column) -> Column:
+    """64 bits, each telling whether an odd number of a line's words fall on it: two lines whose bits differ in k
+    places differ in at least k words."""
+    return F.aggregate(s, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def promising(a: str, b: str, threshold: float, first: bool) -> Column:
+    """Length, position and parity filters for lines under two prefixes of column names, that share the words at
+    places i. `first` assumes that they share none before, as holds for one of the words of every similar pair
+    that are keys by themselves."""
+    n, i, m, j = (F.col(f"{p}{c}") for p in (a, b) for c in ("n", "i"))
     need = F.ceil((n + m) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
-    return (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - F.lit(1e-9)) & (F.least(i, j) + F.least(n - i, m - j) >= need)
+    alone = (n > SHORT) | (m > SHORT)
+    before = F.when(alone, 1).otherwise(F.least(i, j)) if first else F.least(i, j)
+    differ = F.bit_count(F.col(f"{a}sig").bitwiseXOR(F.col(f"{b}sig")))
+    return (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - F.lit(1e-9)) & (before + F.least(n - i, m - j) >= need) & (differ <= n + m - 2 * need)
 
 
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -115,17 +127,17 @@ def dead_lines(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
     holds its lines against its earliest one, so copies that differ a little cost one comparison each, however
     many there are. Lines that this leaves meet all earlier lines of their keys."""
     w = Window.partitionBy("t", "salt").orderBy("doc_id", "no", "x")
-    first = F.first(F.struct("x", "n", "i")).over(w)
+    first = F.first(F.struct("x", "n", "i", "sig")).over(w)
     met = index(lines, threshold, min_words).select("*", first.alias("lead"), F.lead("x").over(w).alias("more"))
     met = met.where((F.col("salt") >= 0) | F.col("more").isNotNull() | (F.col("lead.x") != F.col("x"))).drop("more")
     met, _ = cut(met, "line-index")
-    pairs = met.where((F.col("lead.x") != F.col("x")) & promising(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i"), threshold)).select("x", F.col("lead.x").alias("o")).distinct()
+    pairs = met.where((F.col("lead.x") != F.col("x")) & promising("", "lead.", threshold, False)).select("x", F.col("lead.x").alias("o")).distinct()
     pairs, _ = cut(pairs, "line-pairs")
     dead, _ = cut(verified(pairs, lines, threshold), "lines-dead")
-    left = met.join(dead, "x", "left_anti").select("t", "i", "n", "x", "doc_id", "no", F.col("lead.x").alias("lead"))
-    other = met.select("t", F.col("i").alias("j"), F.col("n").alias("m"), F.col("x").alias("o"), F.col("doc_id").alias("od"), F.col("no").alias("ono"))
+    left = met.join(dead, "x", "left_anti").select("t", "i", "n", "sig", "x", "doc_id", "no", F.col("lead.x").alias("lead"))
+    other = met.select("t", F.col("i").alias("o_i"), F.col("n").alias("o_n"), F.col("sig").alias("o_sig"), F.col("x").alias("o"), F.col("doc_id").alias("od"), F.col("no").alias("ono"))
     earlier = (F.col("od") < F.col("doc_id")) | ((F.col("od") == F.col("doc_id")) & (F.col("ono") < F.col("no")))
-    rest = left.join(other, "t").where(earlier & (F.col("o") != F.col("lead")) & promising(F.col("n"), F.col("i"), F.col("m"), F.col("j"), threshold)).select("x", "o").distinct()
+    rest = left.join(other, "t").where(earlier & (F.col("o") != F.col("lead")) & promising("", "o_", threshold, True)).select("x", "o").distinct()
     rest, _ = cut(rest, "line-pairs")
     return dead.union(verified(rest, lines, threshold))
 
