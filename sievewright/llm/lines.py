@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -10,7 +12,7 @@ from .util import cut
 
 THRESHOLD = 0.8
 #: Words are counted in so many buckets: a table of this size, whatever the corpus.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 #: Lines of at most this many words are indexed by pairs of prefix words.
 SHORT = 15
 #: Lines of fewer distinct words are left alone: blank ones and marks carry structure, no text to repeat.
@@ -83,7 +85,7 @@ def index(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
     both = int(SHORT * threshold)
     entries = F.concat(F.when(n > both, one).otherwise(none), F.when((n <= SHORT) & (F.size("p") > 1), two).otherwise(none))
     salt = F.when(F.col("e.salts") > 1, F.pmod(F.xxhash64("x", F.lit(3)), F.col("e.salts")).cast("int")).otherwise(-1)
-    return once.select("x", F.col("f.doc_id").alias("doc_id"), F.col("f.no").alias("no"), "n", "sig", F.explode(entries).alias("e")).select(F.col("e.t").alias("t"), salt.alias("salt"), F.col("e.i").alias("i"), "n", "sig", "x", "doc_id", "no")
+    return once.select("x", F.col("f.doc_id").alias("doc_id"), F.col("f.no").alias("no"), "n", "sig", F.explode(entries).alias("e")).select(salt.alias("salt"), "no", "n", F.col("e.i").alias("i"), "doc_id", F.col("e.t").alias("t"), "sig", "x")
 
 
 def parity(s: Column) -> Column:
@@ -104,16 +106,19 @@ def promising(a: str, b: str, threshold: float, first: bool) -> Column:
     return (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - F.lit(1e-9)) & (before + F.least(n - i, m - j) >= need) & (differ <= n + m - 2 * need)
 
 
+def maybe_in(x: Column, wanted: DataFrame) -> Column:
+    """False only for hashes that aren't among those wanted: a bit set of FILTER longs, built from all of them."""
+    bits = wanted.groupBy(F.pmod("x", F.lit(FILTER)).cast("int").alias("b")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(x, 32), 64) as int))")).alias("v"))
+    known = {r.b: r.v for r in bits.collect()}  # FILTER numbers at most
+    sets = F.split(F.lit(",".join(str(known.get(b, 0)) for b in range(FILTER))), ",").cast("array<bigint>")
+    return F.getbit(F.element_at(sets, F.pmod(x, F.lit(FILTER)).cast("int") + 1), F.pmod(F.shiftrightunsigned(x, 32), F.lit(64)).cast("int")) == 1
+
+
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """Of pairs (x, o) of lines, x of those whose word sets are similar."""
     wanted = pairs.select("x").union(pairs.select(F.col("o").alias("x"))).distinct()
     wanted, _ = cut(wanted, "lines-wanted")
-    bits = wanted.groupBy(F.pmod("x", F.lit(FILTER)).cast("int").alias("b")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(x, 32), 64) as int))")).alias("v"))
-    known = {r.b: r.v for r in bits.collect()}  # FILTER numbers at most
-    sets = F.split(F.lit(",".join(str(known.get(b, 0)) for b in range(FILTER))), ",").cast("array<bigint>")
-    maybe = F.expr("shiftrightunsigned(x, 32)")
-    hit = F.getbit(F.element_at(sets, F.pmod("x", F.lit(FILTER)).cast("int") + 1), F.pmod(maybe, F.lit(64)).cast("int")) == 1
-    own = lines.where(hit).select("x", "line").join(wanted, "x", "left_semi").dropDuplicates(["x"]).select("x", F.array_distinct(words(F.col("line"))).alias("w"))
+    own = lines.where(maybe_in(F.col("x"), wanted)).select("x", "line").join(wanted, "x", "left_semi").dropDuplicates(["x"]).select("x", F.array_distinct(words(F.col("line"))).alias("w"))
     own, _ = cut(own, "lines-words")
     joined = pairs.join(own, "x").join(own.select(F.col("x").alias("o"), F.col("w").alias("v")), "o")
     common = F.size(F.array_intersect("w", "v"))
@@ -126,19 +131,35 @@ def dead_lines(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
     Entries that no other line shares are dropped at once. Every group of the others (a key and its salt) first
     holds its lines against its earliest one, so copies that differ a little cost one comparison each, however
     many there are. Lines that this leaves meet all earlier lines of their keys."""
+    spark = lines.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     w = Window.partitionBy("t", "salt").orderBy("doc_id", "no", "x")
-    first = F.first(F.struct("x", "n", "i", "sig")).over(w)
-    met = index(lines, threshold, min_words).select("*", first.alias("lead"), F.lead("x").over(w).alias("more"))
-    met = met.where((F.col("salt") >= 0) | F.col("more").isNotNull() | (F.col("lead.x") != F.col("x"))).drop("more")
-    met, _ = cut(met, "line-index")
-    pairs = met.where((F.col("lead.x") != F.col("x")) & promising("", "lead.", threshold, False)).select("x", F.col("lead.x").alias("o")).distinct()
-    pairs, _ = cut(pairs, "line-pairs")
-    dead, _ = cut(verified(pairs, lines, threshold), "lines-dead")
-    left = met.join(dead, "x", "left_anti").select("t", "i", "n", "sig", "x", "doc_id", "no", F.col("lead.x").alias("lead"))
-    other = met.select("t", F.col("i").alias("o_i"), F.col("n").alias("o_n"), F.col("sig").alias("o_sig"), F.col("x").alias("o"), F.col("doc_id").alias("od"), F.col("no").alias("ono"))
-    earlier = (F.col("od") < F.col("doc_id")) | ((F.col("od") == F.col("doc_id")) & (F.col("ono") < F.col("no")))
-    rest = left.join(other, "t").where(earlier & (F.col("o") != F.col("lead")) & promising("", "o_", threshold, True)).select("x", "o").distinct()
-    rest, _ = cut(rest, "line-pairs")
+    met = index(lines, threshold, min_words).repartition(parts, "t", "salt").select("*", F.first(F.struct("x", "n", "i", "sig")).over(w).alias("lead"), F.lead("x").over(w).alias("more"))
+    alone = F.col("more").isNull() & (F.col("lead.x") == F.col("x")) & (F.col("salt") < 0)
+    # what stands against the group's earliest line, where the filters let it
+    against = F.when((F.col("lead.x") != F.col("x")) & promising("", "lead.", threshold, False), F.col("lead.x"))
+    met = met.where(~alone).select("salt", "no", "n", "i", "doc_id", "t", "sig", "x", against.alias("o"))
+    name = f"line_index_{uuid.uuid4().hex}"
+    # buckets by the group's key: lines meet the others of their group without another shuffle
+    met.write.bucketBy(parts, "t", "salt").sortBy("t", "salt").format("parquet").saveAsTable(name)
+    try:
+        met = spark.table(name)
+        pairs, _ = cut(met.where("o is not null").select("x", "o").distinct(), "line-pairs")
+        dead, _ = cut(verified(pairs, lines, threshold), "lines-dead")
+        other = met.select("t", "salt", F.col("i").alias("o_i"), F.col("n").alias("o_n"), F.col("sig").alias("o_sig"), F.col("x").alias("o_x"), F.col("doc_id").alias("od"), F.col("no").alias("ono"))
+        earlier = (F.col("od") < F.col("doc_id")) | ((F.col("od") == F.col("doc_id")) & (F.col("ono") < F.col("no")))
+        fits = earlier & promising("", "o_", threshold, True)
+        own = met.drop("o")
+        # lines that their group's earliest one removed have to meet no other
+        salted = own.where("salt >= 0").join(dead, "x", "left_anti").join(other.where("salt >= 0").withColumnRenamed("salt", "o_salt"), "t").where((F.col("salt") != F.col("o_salt")) & fits).select("x", "o_x")
+        maybe = maybe_in(F.col("x"), dead)
+        spared = own.where(~maybe)
+        rest = spared.join(other, ["t", "salt"]).where(fits).select("x", "o_x")
+        # what the bit set may mistake for removed comes by the exact way
+        mistaken = own.where(maybe).join(dead, "x", "left_anti").join(other, ["t", "salt"]).where(fits).select("x", "o_x")
+        rest, _ = cut(rest.union(mistaken).union(salted).select("x", F.col("o_x").alias("o")).distinct(), "line-pairs")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return dead.union(verified(rest, lines, threshold))
 
 

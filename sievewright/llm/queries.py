@@ -61,7 +61,7 @@ ORACLE_SQL = {
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE label IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), l AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93
@@ -73,7 +73,7 @@ FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
     "op2_line_dedup": """
 WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 o AS (SELECT doc_id, unnest(range(len(ls))) AS no, unnest(ls) AS line FROM s),
-w AS (SELECT doc_id, no, line, list_sort(list_distinct(list_filter(string_split(line, ' '), x -> x <> ''))) AS ws FROM o),
+w AS (SELECT doc_id, no, line, list_sort(list_distinct(list_filter(string_split(line, ' '), lambda x: x <> ''))) AS ws FROM o),
 f AS (SELECT ws, min(struct_pack(d := doc_id, n := no)) AS f FROM w WHERE len(ws) >= 3 GROUP BY ws),
 g AS (SELECT row_number() OVER (ORDER BY f) AS id, ws, f FROM f),
 u AS (SELECT id, len(ws) AS n, unnest(ws) AS w FROM g),
