@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import components, map_batches
+from .util import components, cut, map_batches
 
 #: The 64 bits are cut into this many runs; two fingerprints within the radius agree on BLOCKS - radius of them.
 BLOCKS = 5
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, seed: int =
     fingerprint before any comparison, so copies are never paired up. Rows with a null doc_id get a result too,
     but can't name a component; one of only such rows has a null component_id. Repeated rows give repeated rows.
     No rows give no rows. Other columns of docs are ignored, whatever their names."""
-    prints = with_fingerprints(docs, size, seed)
+    prints, _ = cut(with_fingerprints(docs, size, seed), "fingerprints")
     once = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(once.select("fp"), radius, blocks), "simhash").withColumnRenamed("node", "fp")
     joined = once.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
