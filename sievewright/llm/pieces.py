@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -22,22 +24,25 @@ SPACE = "▁"
 DROPOUT = 0.1
 #: Documents fall into so many variants by the hash of their text; equal words of a variant are cut alike.
 VARIANTS = 4
-REMEMBERED = 400_000
-#: Widths of the tables in which chunks go through the agenda together; longer chunks go alone.
-WIDTHS = [6, 8, 10, 12, 16, 24, 64]
+#: Chunks that a worker remembers; those before them serve once more until so many others have come.
+REMEMBERED = 800_000
+#: What the place and the rank of a candidate merge add to the key of its hash.
+PLACE, RANK = 0x9E3779B1, 0xC2B2AE35
+#: Chunks of at most this many characters keep their agenda in a list, longer ones in a heap.
+SHORT = 48
 NONE = 1 << 40
-PAD = (1 << 20) - 1
 
 WORDS = re.compile(r" *\w+|.", re.S)
 CHUNK = re.compile(" *[^ ]+| +")
 MASK = 0xFFFFFFFF
+PLACES = [i * PLACE & MASK for i in range(SHORT)]
 
 
-def mixed(x: int) -> int:
-    """A 32-bit finalizer: every bit of the key reaches every bit of the result."""
+def hashed(key: int, place: int, rank: int) -> int:
+    """32 bits of a candidate merge: the last multiplication carries every bit of the key into the upper bits."""
+    x = key ^ (place * PLACE & MASK) ^ (rank * RANK & MASK)
     x = (x ^ x >> 16) * 0x7FEB352D & MASK
-    x = (x ^ x >> 15) * 0x846CA68B & MASK
-    return x ^ x >> 16
+    return (x ^ x >> 15) * 0x846CA68B & MASK
 
 
 class Codec:
@@ -65,27 +70,12 @@ class Codec:
         self.beside = {p[k : k + 2] for p in self.piece for k in range(len(p) - 1)}
         self.below = int(dropout * (MASK + 1))
         self.seed = seed
-        self.memory: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-        self.parts: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-        self.of_char = np.full(1 + max(ord(p) for p in self.piece if len(p) == 1), -1, np.int64)
-        for p, i in self.piece.items():
-            if len(p) == 1:
-                self.of_char[ord(p)] = i
-        self.of_char[ord(" ")], self.of_char[ord(SPACE)] = self.of_char[ord(SPACE)], -1  # the sign itself keeps its own bytes
+        self.memory: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]  # chunks and their parts
+        self.earlier: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
         self.rank = {p: r for p, r in self.rank.items() if len(p) > 1}
-        if n >= PAD:
-            raise ValueError("the vocabulary is too large")
-        found: dict[int, tuple[int, int]] = {}
-        for p, i in self.piece.items():
-            for k in range(1, len(p)):
-                a, b = self.piece.get(p[:k]), self.piece.get(p[k:])
-                if a is not None and b is not None:
-                    found[a << 20 | b] = self.rank[p], i
-        self.pairs = np.array(sorted(found), np.int64)
-        self.pair_rank, self.pair_piece = np.array([found[k] for k in self.pairs.tolist()], np.int64).T.copy()
 
     def skipped(self, key: int, place: int, rank: int) -> bool:
-        return self.below > 0 and mixed(key ^ (place * 0x9E3779B1 & MASK) ^ (rank * 0xC2B2AE35 & MASK)) < self.below
+        return hashed(key, place, rank) < self.below
 
     def cut(self, chunk: str, variant: int) -> list[int]:
         """Ids of a chunk: candidate merges wait in an agenda by rank, then place; one that comes up is skipped for
@@ -93,8 +83,11 @@ class Codec:
         symbols = list(chunk.replace(" ", SPACE))
         if SPACE in chunk:  # the sign itself is no blank: it keeps its own bytes
             symbols = ["\0" + SPACE if c == SPACE else s for c, s in zip(chunk, symbols, strict=True)]
-        symbols = self.agenda(symbols, self.key(chunk, variant))
-        ids: list[int] = []
+        symbols = (self.short_agenda if len(symbols) <= SHORT else self.agenda)(symbols, self.key(chunk, variant))
+        ids = list(map(self.piece.get, symbols))
+        if None not in ids:
+            return ids
+        ids = []
         for s in symbols:
             known = self.piece.get(s)
             if known is None:
@@ -103,6 +96,30 @@ class Codec:
                 ids.append(known)
         return ids
 
+    def short_agenda(self, symbols: list[str], key: int) -> list[str]:
+        """The agenda as a list of ranks beside the symbols: its least entry, the leftmost of equals, comes up next."""
+        rank, below = self.rank.get, self.below
+        keys = [key ^ x for x in PLACES[: len(symbols)]]
+        agenda = [rank(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
+        while agenda:
+            r = min(agenda)
+            if r == NONE:
+                break
+            i = agenda.index(r)
+            if below:  # hashed(), in place
+                x = keys[i] ^ (r * RANK & MASK)
+                x = (x ^ x >> 16) * 0x7FEB352D & MASK
+                if (x ^ x >> 15) * 0x846CA68B & MASK < below:
+                    agenda[i] = NONE
+                    continue
+            p = symbols[i] = symbols[i] + symbols[i + 1]
+            del symbols[i + 1], keys[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + p, NONE)
+            if i < len(agenda):
+                agenda[i] = rank(p + symbols[i + 1], NONE)
+        return symbols
+
     def agenda(self, symbols: list[str], key: int) -> list[str]:
         """The agenda as a heap, for one chunk of any length."""
         n, rank = len(symbols), self.rank.get
@@ -130,95 +147,23 @@ class Codec:
     def key(self, chunk: str, variant: int) -> int:
         return zlib.crc32(chunk.encode("utf-8", "surrogatepass"), (self.seed * 0x9E3779B1 + variant * 0x85EBCA6B) & MASK)
 
-    def cut_many(self, chunks: list[str], variants: list[int]) -> list[bytes]:
-        """cut() of many chunks at once: chunks of like length are rows of one table, padded at the end, and each
-        round takes the least entry of every row's agenda."""
-        out: list[bytes] = [b""] * len(chunks)
-        step = np.searchsorted(WIDTHS, [len(c) for c in chunks])
-        for k in np.unique(step).tolist():
-            rows = np.nonzero(step == k)[0].tolist()
-            if k == len(WIDTHS):
-                for r in rows:
-                    out[r] = np.array(self.cut(chunks[r], variants[r]), "<u4").tobytes()
-                continue
-            for at in range(0, len(rows), 8192):
-                part = rows[at : at + 8192]
-                for r, ids in zip(part, self.rounds([chunks[r] for r in part], WIDTHS[k], [variants[r] for r in part]), strict=True):
-                    out[r] = ids
-        return out
-
-    def rounds(self, chunks: list[str], n: int, variants: list[int]) -> Iterator[bytes]:
-        size = np.array([len(c) for c in chunks])
-        codes = np.frombuffer("".join([c.ljust(n) for c in chunks]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n).astype(np.int64)
-        symbol = np.where(codes < len(self.of_char), self.of_char[np.minimum(codes, len(self.of_char) - 1)], -1).astype(np.int64)
-        symbol = np.where(symbol < 0, -codes - 1, symbol)  # a character without a piece, to be spelled in bytes
-        symbol[np.arange(n)[None, :] >= size[:, None]] = PAD
-        place = np.tile(np.arange(n), (len(chunks), 1))
-        agenda = self.ranks(symbol[:, :-1], symbol[:, 1:])
-        keys = np.array([self.key(c, v) for c, v in zip(chunks, variants, strict=True)], np.int64)
-        done = np.empty((len(chunks), n), np.int64)
-        row = np.arange(len(chunks))
-        while len(row):
-            i = agenda.argmin(axis=1)
-            r = agenda[np.arange(len(row)), i]
-            idle = r >= NONE
-            if idle.any():
-                done[row[idle]] = symbol[idle]
-                go = ~idle
-                row, symbol, place, agenda, keys, i, r = row[go], symbol[go], place[go], agenda[go], keys[go], i[go], r[go]
-                if not len(row):
-                    break
-            x = keys ^ (place[np.arange(len(row)), i] * 0x9E3779B1 & MASK) ^ (r * 0xC2B2AE35 & MASK)
-            x = ((x ^ x >> 16) * 0x7FEB352D) & MASK
-            x = ((x ^ x >> 15) * 0x846CA68B) & MASK
-            skip = (x ^ x >> 16) < self.below
-            agenda[np.nonzero(skip)[0], i[skip]] = NONE
-            m = np.nonzero(~skip)[0]
-            if not len(m):
-                continue
-            i = i[m]
-            size[row[m]] -= 1
-            merged = self.pair_piece[np.searchsorted(self.pairs, symbol[m, i] << 20 | symbol[m, i + 1])]
-            column = np.arange(n)
-            later = np.minimum(column, n - 1)[None, :] + (column[None, :] > i[:, None])
-            for table, fill in ((symbol, PAD), (place, 0)):
-                part = np.concatenate([table[m], np.full((len(m), 1), fill)], axis=1)
-                table[m] = np.take_along_axis(part, later, axis=1)
-            symbol[m, i] = merged
-            part = np.concatenate([agenda[m], np.full((len(m), 1), NONE)], axis=1)
-            agenda[m] = np.take_along_axis(part, column[None, : n - 1] + (column[None, : n - 1] >= i[:, None]), axis=1)
-            left = i > 0
-            agenda[m[left], i[left] - 1] = self.ranks(symbol[m[left], i[left] - 1], symbol[m[left], i[left]])
-            right = i < n - 1
-            agenda[m[right], i[right]] = self.ranks(symbol[m[right], i[right]], symbol[m[right], i[right] + 1])
-        spelled = (done < 0).any(axis=1).tolist()
-        whole = done.astype("<u4").tobytes()
-        for k, end in enumerate(size.tolist()):
-            if spelled[k]:
-                ids = [x for v in done[k, :end].tolist() for x in ((v,) if v >= 0 else [self.byte[b] for b in chr(-v - 1).encode("utf-8", "surrogatepass")])]
-                yield np.array(ids, "<u4").tobytes()
-            else:
-                yield whole[4 * n * k : 4 * (n * k + end)]
-
-    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        wanted = np.where((left >= 0) & (right >= 0) & (left != PAD) & (right != PAD), left << 20 | right, -1)
-        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == wanted, self.pair_rank[at], NONE)
-
     def encode_many(self, texts: list[str], variants: list[int]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes; a text gets the model's leading blank."""
         split = [CHUNK.findall(" " + t) if t else [] for t in texts]
-        if sum(map(len, self.memory)) > REMEMBERED:
-            for known in (*self.memory, *self.parts):
-                known.clear()
-        new = {(c, v) for own, v in zip(split, variants, strict=True) for c in own if c not in self.memory[v]}
-        apart = [(c, v, self.apart(c)) for c, v in new]
-        missing = list({(p, v) for _, v, own in apart for p in own if p not in self.parts[v]})
-        for (p, v), ids in zip(missing, self.cut_many([p for p, _ in missing], [v for _, v in missing]), strict=True):
-            self.parts[v][p] = ids
-        for c, v, own in apart:
-            parts = self.parts[v]
-            self.memory[v][c] = parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])
+        if sum(map(len, self.memory)) > REMEMBERED:  # what the coming texts need of it moves on, the rest is forgotten
+            self.earlier, self.memory = self.memory, [{} for _ in range(VARIANTS)]
+        for v in set(variants):
+            known, earlier = self.memory[v], self.earlier[v]
+            new = set().union(*[set(own).difference(known) for own, w in zip(split, variants, strict=True) if w == v])
+            for c in new:
+                ids = earlier.get(c)
+                if ids is None:
+                    own = self.apart(c)
+                    for p in own:
+                        if p not in known:
+                            known[p] = earlier.get(p) or array("I", self.cut(p, v)).tobytes()
+                    ids = known[own[0]] if len(own) == 1 else b"".join([known[p] for p in own])
+                known[c] = ids
         for own, v in zip(split, variants, strict=True):
             yield b"".join(map(self.memory[v].__getitem__, own))
 
@@ -241,6 +186,12 @@ class Codec:
         return b"".join(map(self.out.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
+@lru_cache(maxsize=2)
+def worker_codec(path: str, dropout: float = DROPOUT, seed: int = 0) -> Codec:
+    """A worker's codec: what it remembers, at most REMEMBERED chunks, serves all tasks that the worker runs."""
+    return Codec(path, dropout, seed)
+
+
 def variant_of(text: str, variants: int = VARIANTS) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) % variants
 
@@ -250,7 +201,7 @@ def encoded(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT,
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        codec = Codec(path, dropout, seed)
+        codec = worker_codec(path, dropout, seed)
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
@@ -267,7 +218,7 @@ def decoded(rows: DataFrame, keep: list[str], path: str | None = None) -> DataFr
     ddl = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "text string"])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        codec = Codec(path)
+        codec = worker_codec(path)
         for b in batches:
             ids = b.column(len(keep))
             yield {c: b.column(k) for k, c in enumerate(keep)} | {"text": [None if i is None else codec.decode(np.array(i, np.int64)) for i in ids.to_pylist()]}
@@ -284,7 +235,7 @@ def round_trip(docs: DataFrame, path: str | None = None, dropout: float = DROPOU
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        codec = Codec(path, dropout, seed)
+        codec = worker_codec(path, dropout, seed)
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
