@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +21,11 @@ from .util import cut, map_batches
 
 CAPACITY = 1024
 END_ID = 2
-REMEMBERED = 400_000
+#: Parts that a worker remembers; those before them serve once more until so many others have come.
+REMEMBERED = 600_000
+CLOSE = re.compile(r"\A\s|\s(?:\s|\Z)")
+#: The byte of a blank in the tokenizer's names of tokens.
+BLANK = "Ġ"
 
 
 class Encoder:
@@ -32,40 +38,49 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.blank = np.array([(self.tokenizer.id_to_token(i) or "").startswith(BLANK) for i in range(size)])
         self.line = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def after_blanks(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part with a blank before it, from texts of many such parts: a token that begins with a blank
+        begins a part."""
+        out = []
+        groups = [parts[at : at + 128] for at in range(0, len(parts), 128)]
+        for group, raw in zip(groups, self.whole([f" {' '.join(g)}" for g in groups]), strict=True):
+            at = (4 * np.nonzero(self.blank[np.frombuffer(raw, "<u4")])[0]).tolist()
+            if len(at) == len(group):
+                out += [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
+            else:
+                out += self.whole([f" {p}" for p in group])
+        return out
+
     @staticmethod
     def lines(text: str) -> list[list[str]] | None:
         """Lines as lists of parts; None if some white space has white space, a start or an end beside it."""
-        out = []
-        for line in text.split("\n"):
-            parts = line.split(" ")
-            for p in parts:
-                if not p or p[0].isspace() or p[-1].isspace():
-                    return None
-            out.append(parts)
-        return out
+        return None if CLOSE.search(text) else [line.split(" ") for line in text.split("\n")]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 64):
-            group = [(t, self.lines(t)) for t in texts[at : at + 64]]
+        for at in range(0, len(texts), 256):
+            group = [(t, self.lines(t)) for t in texts[at : at + 256]]
             if len(self.first) + len(self.later) > REMEMBERED:
-                self.first.clear()
-                self.later.clear()
+                self.earlier, self.first, self.later = self.later, {}, {}
             new_first, new_later = set(), set()
             for _, lines in group:
                 for parts in lines or ():
                     if parts[0] not in self.first:
                         new_first.add(parts[0])
-                    for p in parts[1:]:
-                        if p not in self.later:
-                            new_later.add(p)
-            a, b = list(new_first), list(new_later)
+                    new_later.update(parts[1:])
+            new_later.difference_update(self.later)
+            moved = {p: self.earlier[p] for p in new_later if p in self.earlier}
+            self.later.update(moved)
+            a, b = list(new_first), list(new_later.difference(moved))
             self.first.update(zip(a, self.whole(a), strict=True))
-            self.later.update(zip(b, self.whole([f" {p}" for p in b]), strict=True))
+            self.later.update(zip(b, self.after_blanks(b), strict=True))
             later = self.later.__getitem__
             for text, lines in group:
                 if lines is None:
@@ -74,12 +89,18 @@ class Encoder:
                     yield self.line.join([self.first[parts[0]] + b"".join(map(later, parts[1:])) for parts in lines])
 
 
+@lru_cache(maxsize=2)
+def worker_encoder(path: str) -> Encoder:
+    """A worker's encoder: what it remembers serves all tasks that the worker runs."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and its place: the task and its number among the
     task's pieces of that length. Only documents over the capacity are cut; the first piece takes the remainder."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encoder, task, seen = Encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encoder, task, seen = worker_encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "task", "number")}
