@@ -24,69 +24,66 @@ END_ID = 2
 #: Parts that a worker remembers; those before them serve once more until so many others have come.
 REMEMBERED = 600_000
 CLOSE = re.compile(r"\A\s|\s(?:\s|\Z)")
-#: The byte of a blank in the tokenizer's names of tokens.
-BLANK = "Ġ"
+#: Signs before parts, and their bytes in the tokenizer's names of tokens.
+SIGNS = {" ": "Ġ", "\n": "Ċ"}
 
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit bytes. The pre-tokenizer splits before every lone blank, so the
-    ids of a text are those of its blank-separated parts, each with its blank; parts are encoded once and kept.
-    Texts in which white space meets white space are encoded whole."""
+    """Texts to ids as little-endian unsigned 32-bit bytes. The pre-tokenizer splits before every lone blank and
+    around every lone newline, so the ids of a text are those of its parts between these, each with the sign before
+    it; parts are encoded once and kept. Texts in which white space meets white space are encoded whole.
+
+    A part's key in the memory is itself after a blank, has its newline after a newline, and a blank at the start."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.memory: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
-        size = self.tokenizer.get_vocab_size()
-        self.blank = np.array([(self.tokenizer.id_to_token(i) or "").startswith(BLANK) for i in range(size)])
-        self.line = self.whole(["\n"])[0]
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.begins = {sign: np.array([n.startswith(name) for n in names]) for sign, name in SIGNS.items()}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def after_blanks(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part with a blank before it, from texts of many such parts: a token that begins with a blank
+    def after(self, sign: str, parts: list[str]) -> list[bytes]:
+        """Ids of each part with the sign before it, from texts of many such parts: a token that begins with the sign
         begins a part."""
         out = []
         groups = [parts[at : at + 128] for at in range(0, len(parts), 128)]
-        for group, raw in zip(groups, self.whole([f" {' '.join(g)}" for g in groups]), strict=True):
-            at = (4 * np.nonzero(self.blank[np.frombuffer(raw, "<u4")])[0]).tolist()
+        for group, raw in zip(groups, self.whole([sign + sign.join(g) for g in groups]), strict=True):
+            at = (4 * np.nonzero(self.begins[sign][np.frombuffer(raw, "<u4")])[0]).tolist()
             if len(at) == len(group):
                 out += [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
             else:
-                out += self.whole([f" {p}" for p in group])
+                out += self.whole([sign + p for p in group])
         return out
 
     @staticmethod
-    def lines(text: str) -> list[list[str]] | None:
-        """Lines as lists of parts; None if some white space has white space, a start or an end beside it."""
-        return None if CLOSE.search(text) else [line.split(" ") for line in text.split("\n")]
+    def parts(text: str) -> list[str] | None:
+        """Keys of a text's parts; None if some white space has white space, a start or an end beside it."""
+        return None if CLOSE.search(text) else text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 256):
-            group = [(t, self.lines(t)) for t in texts[at : at + 256]]
-            if len(self.first) + len(self.later) > REMEMBERED:
-                self.earlier, self.first, self.later = self.later, {}, {}
-            new_first, new_later = set(), set()
-            for _, lines in group:
-                for parts in lines or ():
-                    if parts[0] not in self.first:
-                        new_first.add(parts[0])
-                    new_later.update(parts[1:])
-            new_later.difference_update(self.later)
-            moved = {p: self.earlier[p] for p in new_later if p in self.earlier}
-            self.later.update(moved)
-            a, b = list(new_first), list(new_later.difference(moved))
-            self.first.update(zip(a, self.whole(a), strict=True))
-            self.later.update(zip(b, self.after_blanks(b), strict=True))
-            later = self.later.__getitem__
-            for text, lines in group:
-                if lines is None:
-                    yield self.whole([text])[0]
-                else:
-                    yield self.line.join([self.first[parts[0]] + b"".join(map(later, parts[1:])) for parts in lines])
+            group = [(t, self.parts(t)) for t in texts[at : at + 256]]
+            for _, parts in group:
+                if parts:
+                    parts[0] = f" {parts[0]}"
+            if len(self.memory) > REMEMBERED:
+                self.earlier, self.memory = self.memory, {}
+            memory, earlier = self.memory, self.earlier
+            new = set().union(*[parts for _, parts in group if parts]).difference(memory)
+            moved = {k: earlier[k] for k in new if k in earlier}
+            memory.update(moved)
+            blank, line, start = [], [], []
+            for k in new.difference(moved):
+                (start if k[:1] == " " else line if k[:1] == "\n" else blank).append(k)
+            memory.update(zip(blank, self.after(" ", blank), strict=True))
+            memory.update(zip(line, self.after("\n", [k[1:] for k in line]), strict=True))
+            memory.update(zip(start, self.whole([k[1:] for k in start]), strict=True))
+            for text, parts in group:
+                yield self.whole([text])[0] if parts is None else b"".join(map(memory.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)

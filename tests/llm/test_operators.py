@@ -269,6 +269,20 @@ def test_pieces_agree_with_the_library_and_decode():
     assert len({dropped.encode(texts[-1], v) for v in range(pieces.VARIANTS)}) > 1
 
 
+def test_encoder_agrees_with_the_tokenizer(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    rng = random.Random(8)
+    signs = ["", "a", "it's", " ", " ", " ", "\n", "\n", "\t", "\u3000", "\x1c", "é", "日本", "Ġ", "Ċ", "😀", "<|endoftext|>", "12", "'s", "--", "\0", "\xa0"]
+    texts = ["", "a", "\n", " a", "a ", "a\nb c", *("".join(rng.choices(signs, k=rng.randrange(1, 30))) for _ in range(3000))]
+    encoder = packing.Encoder(path)
+    for own in (texts, texts[::-1]):
+        want = tokenizer.encode_batch(own, add_special_tokens=False)
+        assert list(encoder.encode(own)) == [np.array(e.ids, "<u4").tobytes() for e in want]
+
+
 def optimum(items, capacity):
     best = [len(items)]
 
