@@ -29,18 +29,20 @@ def words(line: Column) -> Column:
 
 
 def commonness(lines: DataFrame) -> Column:
-    """A constant array: for each bucket of words 32 times the binary logarithm of how often they occur in all lines."""
-    bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")
+    """A constant array of longs: for each bucket of words 32 times the binary logarithm of how often they occur in
+    all lines, over 52 bits left free."""
+    bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     counted = lines.select(F.explode(words(F.col("line"))).alias("w")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
     level = {r.b: r.c for r in counted.select("b", F.least(F.lit(2047), F.floor(F.log2("n") * 32)).cast("int").alias("c")).collect()}
-    return F.split(F.lit(",".join(str(level.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<int>")
+    return F.split(F.lit(",".join(str(level.get(b, 0) << 52) for b in range(BUCKETS))), ",").cast("array<bigint>")
 
 
 def ranked(line: Column, common: Column) -> Column:
     """A line's distinct words as sorted longs, rarest first: how common the word's bucket is, over 52 bits of the
     word's hash. Any one order of all words gives exact results; this one puts rare words into the prefixes."""
-    key = lambda h: F.shiftleft(F.element_at(common, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1).cast("long"), 52).bitwiseOR(h.bitwiseAND(F.lit((1 << 52) - 1)))
-    return F.sort_array(F.array_distinct(F.transform(words(line), lambda w: key(F.xxhash64(w)))))
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    place = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
+    return F.sort_array(F.transform(hashes, lambda h: F.element_at(common, place(h)).bitwiseOR(F.shiftrightunsigned(h, 12))))
 
 
 def all_lines(docs: DataFrame) -> DataFrame:
@@ -64,28 +66,33 @@ def index(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
     n, low = F.col("n"), least_overlap(F.col("n"), threshold)
     once = (
         lines.where(F.length("line") >= 2 * min_words - 1)
-        .withColumn("s", ranked(F.col("line"), common))
-        .withColumn("n", F.size("s"))
-        .where(n >= min_words)
+        .select("x", "doc_id", "no", ranked(F.col("line"), common).alias("s"))
+        .select("x", "doc_id", "no", F.size("s").alias("n"), "s")
         .select("x", "doc_id", "no", "n", parity(F.col("s")).alias("sig"), F.slice("s", 1, n - low + F.when(n <= SHORT, 2).otherwise(1)).alias("p"))
         .groupBy("x")
         .agg(F.min(F.struct("doc_id", "no")).alias("f"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("p").alias("p"))
+        .where(n >= min_words)  # here, as a filter before the grouping would rank every line's words twice
     )
-    count = lambda key: F.pow(F.lit(2.0), F.shiftrightunsigned(key, 52) / F.lit(32.0) + F.lit(1 / 32))  # noqa: E731  the bucket's, rounded up
-    entry = lambda t, i, c: F.struct(t.alias("t"), i.alias("i"), F.ceil(c / F.lit(GROUP)).cast("int").alias("salts"))
-    one = F.transform(F.sequence(F.lit(1), n - low + 1), lambda i: entry(F.element_at("p", i), i, count(F.element_at("p", i))))
-    two = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.size("p") - 1),
-            lambda i: F.transform(F.sequence(i + 1, F.size("p")), lambda j: entry(F.xxhash64(F.element_at("p", i), F.element_at("p", j)), j, F.least(count(F.element_at("p", i)), count(F.element_at("p", j))))),
-        )
+    ones, k = F.col("ones"), F.col("k")
+    # a line of at most SHORT * threshold words has no similar line above SHORT: only lines between need both kinds
+    # of entry; one of at most 1 / threshold words may share a single word with a similar line
+    single = F.when((n > int(SHORT * threshold)) | (n <= int(1 / threshold + 1e-9)), n - low + 1).otherwise(0)
+    double = F.when(n <= SHORT, F.expr("size(p) * (size(p) - 1) div 2").cast("int")).otherwise(0)
+    entries = (
+        once.select("x", F.col("f.doc_id").alias("doc_id"), F.col("f.no").alias("no"), "n", "sig", "p", single.alias("ones"), double.alias("twos"))
+        .select("x", "doc_id", "no", "n", "sig", "p", "ones", F.explode(F.sequence(F.lit(1), ones + F.col("twos"))).alias("k"))
+        # after the single words come the pairs (1, 2), (1, 3), (2, 3), (1, 4), ...: the greater place, then the lesser
+        .withColumn("q", F.greatest(k - ones, F.lit(1)))
+        .withColumn("hi", F.when(k <= ones, k).otherwise(F.ceil((F.sqrt(F.col("q") * 8 + 1) - 1) / 2).cast("int") + 1))
+        .withColumn("lo", F.when(k <= ones, k).otherwise(F.col("q") - F.expr("(hi - 1) * (hi - 2) div 2").cast("int")))
+        .select("x", "doc_id", "no", "n", "sig", F.col("hi").alias("i"), F.element_at("p", F.col("lo")).alias("u"), F.element_at("p", F.col("hi")).alias("v"))
     )
-    none = F.array().cast("array<struct<t:bigint,i:int,salts:int>>")
-    # a line of at most `both` words has no similar line above SHORT: only lines between need both kinds of entry
-    both = int(SHORT * threshold)
-    entries = F.concat(F.when(n > both, one).otherwise(none), F.when((n <= SHORT) & (F.size("p") > 1), two).otherwise(none))
-    salt = F.when(F.col("e.salts") > 1, F.pmod(F.xxhash64("x", F.lit(3)), F.col("e.salts")).cast("int")).otherwise(-1)
-    return once.select("x", F.col("f.doc_id").alias("doc_id"), F.col("f.no").alias("no"), "n", "sig", F.explode(entries).alias("e")).select(salt.alias("salt"), "no", "n", F.col("e.i").alias("i"), "doc_id", F.col("e.t").alias("t"), "sig", "x")
+    # the rarer word comes first in the order; its bucket's count, rounded up
+    count = F.pow(F.lit(2.0), F.shiftrightunsigned("u", 52) / F.lit(32.0) + F.lit(1 / 32))
+    salts = F.ceil(count / F.lit(GROUP)).cast("int")
+    salt = F.when(salts > 1, F.pmod(F.xxhash64("x", F.lit(3)), salts).cast("int")).otherwise(-1)
+    t = F.when(F.col("u") == F.col("v"), F.col("u")).otherwise(F.xxhash64("u", "v"))
+    return entries.select(salt.alias("salt"), "no", "n", "i", "doc_id", t.alias("t"), "sig", "x")
 
 
 def parity(s: Column) -> Column:
@@ -141,7 +148,7 @@ def dead_lines(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
     met = met.where(~alone).select("salt", "no", "n", "i", "doc_id", "t", "sig", "x", against.alias("o"))
     name = f"line_index_{uuid.uuid4().hex}"
     # buckets by the group's key: lines meet the others of their group without another shuffle
-    met.write.bucketBy(parts, "t", "salt").sortBy("t", "salt").format("parquet").saveAsTable(name)
+    met.write.option("compression", "zstd").bucketBy(parts, "t", "salt").sortBy("t", "salt").format("parquet").saveAsTable(name)
     try:
         met = spark.table(name)
         pairs, _ = cut(met.where("o is not null").select("x", "o").distinct(), "line-pairs")
