@@ -28,6 +28,11 @@ def words(line: Column) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
+def hashes(line: Column) -> Column:
+    """A line's distinct words, as 64-bit hashes."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
 def commonness(lines: DataFrame) -> Column:
     """A constant array of longs: for each bucket of words 32 times the binary logarithm of how often they occur in
     all lines, over 52 bits left free."""
@@ -40,9 +45,8 @@ def commonness(lines: DataFrame) -> Column:
 def ranked(line: Column, common: Column) -> Column:
     """A line's distinct words as sorted longs, rarest first: how common the word's bucket is, over 52 bits of the
     word's hash. Any one order of all words gives exact results; this one puts rare words into the prefixes."""
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     place = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
-    return F.sort_array(F.transform(hashes, lambda h: F.element_at(common, place(h)).bitwiseOR(F.shiftrightunsigned(h, 12))))
+    return F.sort_array(F.transform(hashes(line), lambda h: F.element_at(common, place(h)).bitwiseOR(F.shiftrightunsigned(h, 12))))
 
 
 def all_lines(docs: DataFrame) -> DataFrame:
@@ -61,7 +65,7 @@ def index(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
     """Prefix entries of the distinct lines: key t and salt, place i of the entry's word in the line's order, the
     line's size n, hash x and first place (doc_id, no). Similar lines share a word of their prefixes of
     n - overlap + 1 words, and two words of prefixes longer by one; short lines, whose prefixes hold common words
-    too, use the second rule, so that their keys are rare."""
+    too, use the second rule, so that their keys are rare. `again` marks one entry of each line that occurs anew."""
     common = commonness(lines)
     n, low = F.col("n"), least_overlap(F.col("n"), threshold)
     once = (
@@ -70,7 +74,7 @@ def index(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
         .select("x", "doc_id", "no", F.size("s").alias("n"), "s")
         .select("x", "doc_id", "no", "n", parity(F.col("s")).alias("sig"), F.slice("s", 1, n - low + F.when(n <= SHORT, 2).otherwise(1)).alias("p"))
         .groupBy("x")
-        .agg(F.min(F.struct("doc_id", "no")).alias("f"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("p").alias("p"))
+        .agg(F.min(F.struct("doc_id", "no")).alias("f"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("p").alias("p"), (F.count("*") > 1).alias("again"))
         .where(n >= min_words)  # here, as a filter before the grouping would rank every line's words twice
     )
     ones, k = F.col("ones"), F.col("k")
@@ -79,20 +83,20 @@ def index(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
     single = F.when((n > int(SHORT * threshold)) | (n <= int(1 / threshold + 1e-9)), n - low + 1).otherwise(0)
     double = F.when(n <= SHORT, F.expr("size(p) * (size(p) - 1) div 2").cast("int")).otherwise(0)
     entries = (
-        once.select("x", F.col("f.doc_id").alias("doc_id"), F.col("f.no").alias("no"), "n", "sig", "p", single.alias("ones"), double.alias("twos"))
-        .select("x", "doc_id", "no", "n", "sig", "p", "ones", F.explode(F.sequence(F.lit(1), ones + F.col("twos"))).alias("k"))
+        once.select("x", F.col("f.doc_id").alias("doc_id"), F.col("f.no").alias("no"), "n", "sig", "p", "again", single.alias("ones"), double.alias("twos"))
+        .select("x", "doc_id", "no", "n", "sig", "p", "again", "ones", F.explode(F.sequence(F.lit(1), ones + F.col("twos"))).alias("k"))
         # after the single words come the pairs (1, 2), (1, 3), (2, 3), (1, 4), ...: the greater place, then the lesser
         .withColumn("q", F.greatest(k - ones, F.lit(1)))
         .withColumn("hi", F.when(k <= ones, k).otherwise(F.ceil((F.sqrt(F.col("q") * 8 + 1) - 1) / 2).cast("int") + 1))
         .withColumn("lo", F.when(k <= ones, k).otherwise(F.col("q") - F.expr("(hi - 1) * (hi - 2) div 2").cast("int")))
-        .select("x", "doc_id", "no", "n", "sig", F.col("hi").alias("i"), F.element_at("p", F.col("lo")).alias("u"), F.element_at("p", F.col("hi")).alias("v"))
+        .select("x", "doc_id", "no", "n", "sig", (F.col("again") & (k == 1)).alias("again"), F.col("hi").alias("i"), F.element_at("p", F.col("lo")).alias("u"), F.element_at("p", F.col("hi")).alias("v"))
     )
     # the rarer word comes first in the order; its bucket's count, rounded up
     count = F.pow(F.lit(2.0), F.shiftrightunsigned("u", 52) / F.lit(32.0) + F.lit(1 / 32))
     salts = F.ceil(count / F.lit(GROUP)).cast("int")
     salt = F.when(salts > 1, F.pmod(F.xxhash64("x", F.lit(3)), salts).cast("int")).otherwise(-1)
     t = F.when(F.col("u") == F.col("v"), F.col("u")).otherwise(F.xxhash64("u", "v"))
-    return entries.select(salt.alias("salt"), "no", "n", "i", "doc_id", t.alias("t"), "sig", "x")
+    return entries.select(salt.alias("salt"), "no", "n", "i", "doc_id", t.alias("t"), "sig", "x", "again")
 
 
 def parity(s: Column) -> Column:
@@ -125,15 +129,16 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """Of pairs (x, o) of lines, x of those whose word sets are similar."""
     wanted = pairs.select("x").union(pairs.select(F.col("o").alias("x"))).distinct()
     wanted, _ = cut(wanted, "lines-wanted")
-    own = lines.where(maybe_in(F.col("x"), wanted)).select("x", "line").join(wanted, "x", "left_semi").dropDuplicates(["x"]).select("x", F.array_distinct(words(F.col("line"))).alias("w"))
+    own = lines.where(maybe_in(F.col("x"), wanted)).select("x", "line").join(wanted, "x", "left_semi").dropDuplicates(["x"]).select("x", hashes(F.col("line")).alias("w"))
     own, _ = cut(own, "lines-words")
     joined = pairs.join(own, "x").join(own.select(F.col("x").alias("o"), F.col("w").alias("v")), "o")
     common = F.size(F.array_intersect("w", "v"))
     return joined.where(common >= (F.size("w") + F.size("v") - common) * F.lit(threshold) - F.lit(1e-9)).select("x").distinct()
 
 
-def dead_lines(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
-    """x of every distinct line that is similar to one whose first place is earlier.
+def dead_lines(lines: DataFrame, threshold: float, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """x of every distinct line that is similar to one whose first place is earlier; x, doc_id and no of the first
+    place of every line that occurs anew.
 
     Entries that no other line shares are dropped at once. Every group of the others (a key and its salt) first
     holds its lines against its earliest one, so copies that differ a little cost one comparison each, however
@@ -142,21 +147,22 @@ def dead_lines(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     w = Window.partitionBy("t", "salt").orderBy("doc_id", "no", "x")
     met = index(lines, threshold, min_words).repartition(parts, "t", "salt").select("*", F.first(F.struct("x", "n", "i", "sig")).over(w).alias("lead"), F.lead("x").over(w).alias("more"))
-    alone = F.col("more").isNull() & (F.col("lead.x") == F.col("x")) & (F.col("salt") < 0)
+    alone = F.col("more").isNull() & (F.col("lead.x") == F.col("x")) & (F.col("salt") < 0) & ~F.col("again")
     # what stands against the group's earliest line, where the filters let it
     against = F.when((F.col("lead.x") != F.col("x")) & promising("", "lead.", threshold, False), F.col("lead.x"))
-    met = met.where(~alone).select("salt", "no", "n", "i", "doc_id", "t", "sig", "x", against.alias("o"))
+    met = met.where(~alone).select("salt", "no", "n", "i", "doc_id", "t", "sig", "x", "again", against.alias("o"))
     name = f"line_index_{uuid.uuid4().hex}"
     # buckets by the group's key: lines meet the others of their group without another shuffle
     met.write.option("compression", "zstd").bucketBy(parts, "t", "salt").sortBy("t", "salt").format("parquet").saveAsTable(name)
     try:
         met = spark.table(name)
+        anew, _ = cut(met.where("again").select("x", "doc_id", "no"), "lines-anew")
         pairs, _ = cut(met.where("o is not null").select("x", "o").distinct(), "line-pairs")
         dead, _ = cut(verified(pairs, lines, threshold), "lines-dead")
         other = met.select("t", "salt", F.col("i").alias("o_i"), F.col("n").alias("o_n"), F.col("sig").alias("o_sig"), F.col("x").alias("o_x"), F.col("doc_id").alias("od"), F.col("no").alias("ono"))
         earlier = (F.col("od") < F.col("doc_id")) | ((F.col("od") == F.col("doc_id")) & (F.col("ono") < F.col("no")))
         fits = earlier & promising("", "o_", threshold, True)
-        own = met.drop("o")
+        own = met.drop("o", "again")
         # lines that their group's earliest one removed have to meet no other
         salted = own.where("salt >= 0").join(dead, "x", "left_anti").join(other.where("salt >= 0").withColumnRenamed("salt", "o_salt"), "t").where((F.col("salt") != F.col("o_salt")) & fits).select("x", "o_x")
         maybe = maybe_in(F.col("x"), dead)
@@ -167,7 +173,7 @@ def dead_lines(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
         rest, _ = cut(rest.union(mistaken).union(salted).select("x", F.col("o_x").alias("o")).distinct(), "line-pairs")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return dead.union(verified(rest, lines, threshold))
+    return dead.union(verified(rest, lines, threshold)), anew
 
 
 def removals(docs: DataFrame, threshold: float, min_words: int) -> DataFrame:
@@ -175,12 +181,10 @@ def removals(docs: DataFrame, threshold: float, min_words: int) -> DataFrame:
     documents that have any."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = all_lines(docs)
-    dead = dead_lines(lines, threshold, min_words).withColumn("dead", F.lit(True))
+    dead, anew = dead_lines(lines, threshold, min_words)
     places = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
-    fits = (F.length("line") >= 2 * min_words - 1) & (F.size(F.array_distinct(words(F.col("line")))) >= min_words)
-    places = places.where(fits).select("doc_id", "h", "no", F.xxhash64("line").alias("x"))
-    firsts = places.groupBy("x").agg(F.min(F.struct("doc_id", "no")).alias("f"), F.count("*").alias("copies"))
-    fate = firsts.join(dead, "x", "left").where(F.col("dead") | (F.col("copies") > 1)).select("x", F.col("f.doc_id").alias("fd"), F.col("f.no").alias("fno"), F.coalesce("dead", F.lit(False)).alias("dead"))
+    places = places.where(F.length("line") >= 2 * min_words - 1).select("doc_id", "h", "no", F.xxhash64("line").alias("x"))
+    fate = anew.select("x", F.col("doc_id").alias("fd"), F.col("no").alias("fno")).join(dead.withColumn("dead", F.lit(True)), "x", "full_outer").withColumn("dead", F.coalesce("dead", F.lit(False)))
     later = (F.col("doc_id") > F.col("fd")) | ((F.col("doc_id") == F.col("fd")) & (F.col("no") > F.col("fno")))
     return places.join(fate, "x").where(F.col("dead") | later).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("no")).alias("gone"))
 
