@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .util import cut
+from .util import cut, release
 
 THRESHOLD = 0.8
 #: Words are counted in so many buckets: a table of this size, whatever the corpus.
@@ -126,14 +126,24 @@ def maybe_in(x: Column, wanted: DataFrame) -> Column:
 
 
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (x, o) of lines, x of those whose word sets are similar."""
+    """Of pairs (x, o) of lines, x of those whose word sets are similar. The words are kept in buckets by x: of both
+    joins only the pairs, and what the first adds to them, are shuffled."""
+    spark = lines.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = pairs.select("x").union(pairs.select(F.col("o").alias("x"))).distinct()
     wanted, _ = cut(wanted, "lines-wanted")
-    own = lines.where(maybe_in(F.col("x"), wanted)).select("x", "line").join(wanted, "x", "left_semi").dropDuplicates(["x"]).select("x", hashes(F.col("line")).alias("w"))
-    own, _ = cut(own, "lines-words")
-    joined = pairs.join(own, "x").join(own.select(F.col("x").alias("o"), F.col("w").alias("v")), "o")
-    common = F.size(F.array_intersect("w", "v"))
-    return joined.where(common >= (F.size("w") + F.size("v") - common) * F.lit(threshold) - F.lit(1e-9)).select("x").distinct()
+    own = lines.where(maybe_in(F.col("x"), wanted)).select("x", "line").dropDuplicates(["x"]).join(wanted, "x", "left_semi").select("x", hashes(F.col("line")).alias("w"))
+    name = f"line_words_{uuid.uuid4().hex}"
+    own.write.bucketBy(parts, "x").format("parquet").saveAsTable(name)
+    try:
+        own = spark.table(name)
+        joined = pairs.join(own, "x").join(own.select(F.col("x").alias("o"), F.col("w").alias("v")), "o")
+        common = F.size(F.array_intersect("w", "v"))
+        similar, _ = cut(joined.where(common >= (F.size("w") + F.size("v") - common) * F.lit(threshold) - F.lit(1e-9)).select("x").distinct(), "lines-dead")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    release(spark)
+    return similar
 
 
 def dead_lines(lines: DataFrame, threshold: float, min_words: int) -> tuple[DataFrame, DataFrame]:
@@ -156,9 +166,10 @@ def dead_lines(lines: DataFrame, threshold: float, min_words: int) -> tuple[Data
     met.write.option("compression", "zstd").bucketBy(parts, "t", "salt").sortBy("t", "salt").format("parquet").saveAsTable(name)
     try:
         met = spark.table(name)
+        release(spark)
         anew, _ = cut(met.where("again").select("x", "doc_id", "no"), "lines-anew")
         pairs, _ = cut(met.where("o is not null").select("x", "o").distinct(), "line-pairs")
-        dead, _ = cut(verified(pairs, lines, threshold), "lines-dead")
+        dead = verified(pairs, lines, threshold)
         other = met.select("t", "salt", F.col("i").alias("o_i"), F.col("n").alias("o_n"), F.col("sig").alias("o_sig"), F.col("x").alias("o_x"), F.col("doc_id").alias("od"), F.col("no").alias("ono"))
         earlier = (F.col("od") < F.col("doc_id")) | ((F.col("od") == F.col("doc_id")) & (F.col("ono") < F.col("no")))
         fits = earlier & promising("", "o_", threshold, True)

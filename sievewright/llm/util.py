@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -43,6 +44,13 @@ def remove(spark: SparkSession, place: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of finished jobs' shuffle files: Spark deletes them once the driver has collected what refers to them,
+    which may otherwise take it longer than the jobs that follow."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def struct(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
