@@ -33,13 +33,22 @@ def hashes(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
+def constant(rows: DataFrame, size: int, kind: str) -> Column:
+    """Rows (b, v), one for each b at most, as a constant array: v or 0 for every b below size. Only its text reaches
+    the driver."""
+    every = rows.select(F.col("b").cast("long").alias("b"), F.col("v").cast("long").alias("v")).union(rows.sparkSession.range(size).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("v")))
+    one = every.groupBy("b").agg(F.sum("v").alias("v")).agg(F.sort_array(F.collect_list(F.struct("b", "v"))).alias("all"))
+    text = one.select(F.array_join(F.transform("all", lambda x: x["v"].cast("string")), ",")).first()[0]
+    return F.split(F.lit(text), ",").cast(f"array<{kind}>")
+
+
 def commonness(lines: DataFrame) -> Column:
     """A constant array of longs: for each bucket of words 32 times the binary logarithm of how often they occur in
     all lines, over 52 bits left free."""
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     counted = lines.select(F.explode(words(F.col("line"))).alias("w")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
-    level = {r.b: r.c for r in counted.select("b", F.least(F.lit(2047), F.floor(F.log2("n") * 32)).cast("int").alias("c")).collect()}
-    return F.split(F.lit(",".join(str(level.get(b, 0) << 52) for b in range(BUCKETS))), ",").cast("array<bigint>")
+    levels = constant(counted.select("b", F.least(F.lit(2047), F.floor(F.log2("n") * 32)).alias("v")), BUCKETS, "bigint")
+    return F.transform(levels, lambda c: F.shiftleft(c, 52))  # folded when the query is planned
 
 
 def ranked(line: Column, common: Column) -> Column:
@@ -120,8 +129,7 @@ def promising(a: str, b: str, threshold: float, first: bool) -> Column:
 def maybe_in(x: Column, wanted: DataFrame) -> Column:
     """False only for hashes that aren't among those wanted: a bit set of FILTER longs, built from all of them."""
     bits = wanted.groupBy(F.pmod("x", F.lit(FILTER)).cast("int").alias("b")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(x, 32), 64) as int))")).alias("v"))
-    known = {r.b: r.v for r in bits.collect()}  # FILTER numbers at most
-    sets = F.split(F.lit(",".join(str(known.get(b, 0)) for b in range(FILTER))), ",").cast("array<bigint>")
+    sets = constant(bits, FILTER, "bigint")
     return F.getbit(F.element_at(sets, F.pmod(x, F.lit(FILTER)).cast("int") + 1), F.pmod(F.shiftrightunsigned(x, 32), F.lit(64)).cast("int")) == 1
 
 
