@@ -47,8 +47,8 @@ def commonness(lines: DataFrame) -> Column:
     all lines, over 52 bits left free."""
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     counted = lines.select(F.explode(words(F.col("line"))).alias("w")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
-    levels = constant(counted.select("b", F.least(F.lit(2047), F.floor(F.log2("n") * 32)).alias("v")), BUCKETS, "bigint")
-    return F.transform(levels, lambda c: F.shiftleft(c, 52))  # folded when the query is planned
+    level = F.least(F.lit(2047), F.floor(F.log2("n") * 32)).cast("long")
+    return constant(counted.select("b", F.shiftleft(level, 52).alias("v")), BUCKETS, "bigint")
 
 
 def ranked(line: Column, common: Column) -> Column:
