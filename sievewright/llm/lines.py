@@ -177,6 +177,7 @@ def dead_lines(lines: DataFrame, threshold: float, min_words: int) -> tuple[Data
         release(spark)
         anew, _ = cut(met.where("again").select("x", "doc_id", "no"), "lines-anew")
         pairs, _ = cut(met.where("o is not null").select("x", "o").distinct(), "line-pairs")
+        release(spark)  # once more: Spark may hold on to the last command's plan until others have run
         dead = verified(pairs, lines, threshold)
         other = met.select("t", "salt", F.col("i").alias("o_i"), F.col("n").alias("o_n"), F.col("sig").alias("o_sig"), F.col("x").alias("o_x"), F.col("doc_id").alias("od"), F.col("no").alias("ono"))
         earlier = (F.col("od") < F.col("doc_id")) | ((F.col("od") == F.col("doc_id")) & (F.col("ono") < F.col("no")))
