@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import lines, packing, secrets, simhash, toxicity
+from sievewright.llm import lines, packing, secrets, shingles, toxicity
 from sievewright.llm.util import cut, table
 
 
@@ -23,9 +23,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id. Of rows that repeat it one stays;
+    """One document of each group of near-duplicates, by the shingles of five words and similarity 0.8 (whose SimHash
+    fingerprints differ in too many bits to be found by blocks): that with the smallest doc_id. Of rows that repeat it one stays;
     rows without a doc_id stay."""
-    kept = simhash.near_duplicates(docs).where("kept or doc_id is null").select("doc_id").distinct()
+    kept = shingles.near_duplicates(docs).where("kept or doc_id is null").select("doc_id").distinct()
     rest = docs.where("doc_id is null")
     once = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(rest)
