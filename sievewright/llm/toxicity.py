@@ -73,7 +73,7 @@ class Model:
 
     def features(self, texts: list[str | None], memory: dict[str, tuple[float, ...]]) -> Iterator[tuple[float, list[tuple[int, int, float]]]]:
         """Per text the evidence (excess of the significant segments over what clean texts of that length
-        reach) and these segments, in words counted from 0."""
+        reach, repeats damped) and these segments, not damped, in words counted from 0."""
         for text in texts:
             flat: list[float] = []
             for token in (text or "").split():
@@ -86,24 +86,23 @@ class Model:
             scores = np.array(flat)
             out, excess = [], 0.0
             if len(scores) and scores.max() > 0:
-                scores = self.damped(text, scores)
                 noise = math.log(max(self.scale * len(scores), 1.0))
-                for s, e, score in segments(scores):
-                    over = self.rate * score - noise
-                    if over > 0:
-                        out.append((s, e, score))
-                        excess += over
+                out = [x for x in segments(scores) if self.rate * x[2] > noise]
+                excess = sum(max(0.0, self.rate * fresh - noise) for fresh in self.damped(text, scores, out))
             yield math.log1p(excess), out
 
     @staticmethod
-    def damped(text: str, scores: np.ndarray) -> np.ndarray:
-        """A word's k-th occurrence in a text scores a k-th of the first: repeats are no independent evidence."""
+    def damped(text: str | None, scores: np.ndarray, found: list[tuple[int, int, float]]) -> list[float]:
+        """The segments' scores where a word's k-th occurrence in them scores a k-th of the first: repeats are no
+        independent evidence, though every one is a passage."""
         seen: Counter[str] = Counter()
-        flat = [w for token in text.split() for w in words(token)]
-        out = scores.copy()
-        for at in np.nonzero(scores > 0)[0].tolist():
-            seen[flat[at]] += 1
-            out[at] /= seen[flat[at]]
+        flat = [w for token in (text or "").split() for w in words(token)] if found else []
+        out = []
+        for s, e, score in found:
+            for at in (np.nonzero(scores[s:e] > 0)[0] + s).tolist():
+                seen[flat[at]] += 1
+                score -= scores[at] * (1 - 1 / seen[flat[at]])
+            out.append(float(score))
         return out
 
     def probability(self, evidence: float) -> float:

@@ -154,6 +154,16 @@ def test_segments_against_definition():
         assert [x[:2] for x in toxicity.segments(s)] == brute(s)
 
 
+def test_every_toxic_passage_is_found():
+    model = toxicity.Model({"=vile": 2.0, "=grub": 3.0, "=dreck": 2.5}, 1.0, 0.01, (-4.0, 2.0))
+    part = ["clean"] * 40 + ["vile", "grub", "dreck"]
+    for copies in (1, 8):
+        ((evidence, found),) = model.features([" ".join(part * copies)], {})
+        assert [x[:2] for x in found] == [(43 * k + 40, 43 * k + 43) for k in range(copies)]
+        first = evidence if copies == 1 else first
+    assert evidence < 2 * first  # copies are no independent evidence
+
+
 def test_tiff_round_trips_and_faults():
     rng = np.random.default_rng(0)
     for t in range(60):
