@@ -12,9 +12,12 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]+", 0, 32),
 )
-# Parts that are weak by themselves: a token of letters and digits in both cases, and an address of a service.
+# Parts that are weak by themselves: a token of letters and digits in both cases, in either alphabet of base64 ('=' may
+# stand before it and pads it; '/' may stand beside the URL-safe one), and an address of a service.
+MIXED = r"(?=[%(a)s]{20})(?=[%(u)s]*[0-9])(?=[%(l)s]*[A-Z])(?=[%(c)s]*[a-z])[%(a)s]{20,}={0,2}"
+PLAIN, SAFE = (MIXED % {"a": "A-Za-z0-9" + x, "u": "A-Za-z" + x, "l": "a-z0-9" + x, "c": "A-Z0-9" + x} for x in ("+/", "_-"))
 WEAK = (
-    ("key", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]{20})(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/=_-])", 0, 20),
+    ("key", rf"(?<![A-Za-z0-9+/_-]){PLAIN}(?![A-Za-z0-9+/=_-])|(?<![A-Za-z0-9+_-]){SAFE}(?![A-Za-z0-9+=_-])", 0, 20),
     ("endpoint", r"""[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D"'<>]+""", 0, 8),
 )
 KINDS = [k for k, *_ in (*BASE, *WEAK)]
