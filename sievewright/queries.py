@@ -109,15 +109,21 @@ def person_matchers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matchers.scored(pairs)
 
 
+def neighbours(names: DataFrame, most: int = 1000) -> DataFrame:
+    """name and another, a: the next in the order of a hash, each name once. The order is cut into rings of about
+    `most` names, so that no task sorts them all; a name alone has none."""
+    h = F.xxhash64("name")
+    w = Window.partitionBy("ring").orderBy(h, "name")
+    rings = names.withColumn("ring", F.pmod(h, F.lit(names.count() // most + 1)))
+    return rings.select("name", F.coalesce(F.lead("name").over(w), F.first("name").over(w)).alias("a")).where("a <> name")
+
+
 def matcher_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every matcher's frontier on synthetic variants of the part names against each name's neighbour."""
     made = synthetic.synthetic(part_names(spark, sf_dir), "name")
     good = made.select(F.col("name").alias("a"), F.col("variant").alias("b"), F.lit("match").alias("verdict"))
-    # a variant against another name than its own: the next in the order of a hash, not the whole list in one task
-    bad = made.select(F.col("variant").alias("b"), F.col("name").alias("own"), F.pmod(F.xxhash64("name"), F.lit(16)).alias("k")).join(
-        part_names(spark, sf_dir).withColumn("k", F.pmod(F.xxhash64("name") + 1, F.lit(16))).groupBy("k").agg(F.min("name").alias("a")), "k"
-    )
-    pairs = good.unionByName(bad.where("a <> own").select("a", "b", F.lit("different").alias("verdict")))
+    bad = made.select(F.col("variant").alias("b"), "name").join(neighbours(part_names(spark, sf_dir)), "name")
+    pairs = good.unionByName(bad.select("a", "b", F.lit("different").alias("verdict")))
     return measure.threshold_grid(matchers.long(matchers.scored(pairs), ["verdict"]))
 
 

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from sievewright import queries
 from sievewright.functions import keys, text
 from sievewright.functions.intervals import distinguishable, sign_test, wilson, wilson_columns, z_for
 from sievewright.operators import matchers, measure, screen, synthetic
@@ -128,3 +129,11 @@ def test_weights(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "a a"), (3, "")], "id long, name string")
     got = {r.word: (r.df, r.weight) for r in measure.document_frequency(df, "id", F.split("name", " ")).collect()}
     assert got["a"] == (2, pytest.approx(1 + math.log(4 / 3))) and set(got) == {"a", "b"}
+
+
+def test_every_name_is_another_ones_neighbour(spark):
+    for n, most in ((2000, 1000), (2000, 100), (2, 1000), (1, 1000), (0, 1000)):
+        names = {f"name {k}" for k in range(n)}
+        got = queries.neighbours(spark.createDataFrame([(x,) for x in names], "name string"), most).collect()
+        assert all(r.a != r.name for r in got)
+        assert {r.name for r in got} == {r.a for r in got} == (names if n > 1 else set()) and len(got) == len(names) * (n > 1)
