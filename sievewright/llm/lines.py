@@ -8,23 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .util import cut, release
+from .util import cut, release, remove
 
 THRESHOLD = 0.8
 #: Words are counted in so many buckets: a table of this size, whatever the corpus.
 BUCKETS = 1 << 18
 #: Lines of at most this many words are indexed by pairs of prefix words.
 SHORT = 15
-#: Lines of fewer distinct words are left alone: blank ones and marks carry structure, no text to repeat.
-MIN_WORDS = 3
+#: Lines of fewer distinct words are left alone: by default those without any.
+MIN_WORDS = 1
 #: Index entries that may share a key before the key is salted.
 GROUP = 50_000
-#: Longs of the bit set that keeps lines without a candidate out of a shuffle.
-FILTER = 1 << 16
+#: Bytes of the bit set that keeps lines without a candidate out of a shuffle. A corpus with more candidates than it
+#: tells apart shuffles more lines; the exact join that follows decides.
+FILTER = 1 << 18
+#: Blanks that end a word beside U+0020.
+BLANKS = "\t\x0b\x0c\r"
 
 
 def words(line: Column) -> Column:
-    """What blanks separate."""
+    """What blanks separate (other blanks are U+0020 by now, see `all_lines`)."""
     return F.array_remove(F.split(line, " "), "")
 
 
@@ -33,36 +36,52 @@ def hashes(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def constant(rows: DataFrame, size: int, kind: str) -> Column:
-    """Rows (b, v), one for each b at most, as a constant array: v or 0 for every b below size. Only its text reaches
-    the driver."""
-    every = rows.select(F.col("b").cast("long").alias("b"), F.col("v").cast("long").alias("v")).union(rows.sparkSession.range(size).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("v")))
+def constant(rows: DataFrame, size: int) -> Column:
+    """Rows (b, v), one for each b at most, as a constant of `size` bytes: v, of 0 to 127, or 0 for every b below size."""
+    every = rows.select(F.col("b").cast("long").alias("b"), F.col("v").cast("int").alias("v")).union(rows.sparkSession.range(size).select(F.col("id").alias("b"), F.lit(0).alias("v")))
     one = every.groupBy("b").agg(F.sum("v").alias("v")).agg(F.sort_array(F.collect_list(F.struct("b", "v"))).alias("all"))
-    text = one.select(F.array_join(F.transform("all", lambda x: x["v"].cast("string")), ",")).first()[0]
-    return F.split(F.lit(text), ",").cast(f"array<{kind}>")
+    text = one.select(F.array_join(F.transform("all", lambda x: F.char(x["v"])), "")).first()[0]
+    return F.lit(text.encode("ascii"))
+
+
+def at(constant: Column, place: Column) -> Column:
+    """The byte of a constant at a place from 0."""
+    return F.ascii(F.call_function("substring", constant, place + 1, F.lit(1)).cast("string"))
 
 
 def commonness(lines: DataFrame) -> Column:
-    """A constant array of longs: for each bucket of words 32 times the binary logarithm of how often they occur in
-    all lines, over 52 bits left free."""
+    """A constant of bytes: for each bucket of words four times the binary logarithm of how often they occur in all
+    lines."""
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    counted = lines.select(F.explode(words(F.col("line"))).alias("w")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
-    level = F.least(F.lit(2047), F.floor(F.log2("n") * 32)).cast("long")
-    return constant(counted.select("b", F.shiftleft(level, 52).alias("v")), BUCKETS, "bigint")
+    counted = lines.select(F.explode(F.split(F.col("line"), " ")).alias("w")).where("w <> ''").groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
+    return constant(counted.select("b", F.least(F.lit(127), F.floor(F.log2("n") * 4)).alias("v")), BUCKETS)
 
 
 def ranked(line: Column, common: Column) -> Column:
     """A line's distinct words as sorted longs, rarest first: how common the word's bucket is, over 52 bits of the
     word's hash. Any one order of all words gives exact results; this one puts rare words into the prefixes."""
-    place = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
-    return F.sort_array(F.transform(hashes(line), lambda h: F.element_at(common, place(h)).bitwiseOR(F.shiftrightunsigned(h, 12))))
+    level = lambda h: F.call_function("shiftleft", at(common, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), F.lit(52))
+    return F.sort_array(F.transform(hashes(line), lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 12))))
 
 
-def all_lines(docs: DataFrame) -> DataFrame:
-    """doc_id (null ids before all others), no (from 0), line, x (hash of the line)."""
-    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+def texts(docs: DataFrame) -> tuple[Column, Column]:
+    """doc_id (null ids before all others) and text, in which every blank is U+0020 or a newline."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(doc_id.alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line")).withColumn("x", F.xxhash64("line"))
+    other = F.contains(text, F.lit(BLANKS[0]))
+    for c in BLANKS[1:]:
+        other |= F.contains(text, F.lit(c))
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.when(other, F.translate(text, BLANKS, " " * len(BLANKS))).otherwise(text)
+
+
+def identity(line: Column) -> list[Column]:
+    """128 bits that tell lines apart."""
+    return [F.xxhash64(line).alias("x"), F.xxhash64(F.lit(1), line).alias("y")]
+
+
+def all_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, no (from 0), line, x and y (its identity) of every line that isn't empty."""
+    doc_id, text = texts(docs)
+    return docs.select(doc_id.alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line")).where("line <> ''").select("doc_id", "no", "line", *identity(F.col("line")))
 
 
 def least_overlap(n: Column, threshold: float) -> Column:
@@ -71,19 +90,20 @@ def least_overlap(n: Column, threshold: float) -> Column:
 
 
 def index(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
-    """Prefix entries of the distinct lines: key t and salt, place i of the entry's word in the line's order, the
-    line's size n, hash x and first place (doc_id, no). Similar lines share a word of their prefixes of
-    n - overlap + 1 words, and two words of prefixes longer by one; short lines, whose prefixes hold common words
-    too, use the second rule, so that their keys are rare. `again` marks one entry of each line that occurs anew."""
+    """Prefix entries of the distinct lines: key t and salt (of so many salts), place i of the entry's word in the
+    line's order, the word `beside` it, the line's size n, identity x and y, first place (doc_id, no) and parity bits.
+    Similar lines share a word of their prefixes of n - overlap + 1 words, and two words of prefixes longer by one;
+    short lines, whose prefixes hold common words too, use the second rule, so that their keys are rare. `again`
+    marks one entry of each line that occurs anew."""
     common = commonness(lines)
     n, low = F.col("n"), least_overlap(F.col("n"), threshold)
     once = (
         lines.where(F.length("line") >= 2 * min_words - 1)
-        .select("x", "doc_id", "no", ranked(F.col("line"), common).alias("s"))
-        .select("x", "doc_id", "no", F.size("s").alias("n"), "s")
-        .select("x", "doc_id", "no", "n", parity(F.col("s")).alias("sig"), F.slice("s", 1, n - low + F.when(n <= SHORT, 2).otherwise(1)).alias("p"))
-        .groupBy("x")
-        .agg(F.min(F.struct("doc_id", "no")).alias("f"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("p").alias("p"), (F.count("*") > 1).alias("again"))
+        .select("x", "y", "doc_id", "no", ranked(F.col("line"), common).alias("s"))
+        .select("x", "y", "doc_id", "no", F.size("s").alias("n"), "s")
+        .select("x", "y", "doc_id", "no", "n", *parity(F.col("s")), F.slice("s", 1, n - low + 2).alias("p"))
+        .groupBy("x", "y")
+        .agg(F.min(F.struct("doc_id", "no")).alias("f"), F.first("n").alias("n"), F.first("even").alias("even"), F.first("odd").alias("odd"), F.first("p").alias("p"), (F.count("*") > 1).alias("again"))
         .where(n >= min_words)  # here, as a filter before the grouping would rank every line's words twice
     )
     ones, k = F.col("ones"), F.col("k")
@@ -91,27 +111,33 @@ def index(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
     # of entry; one of at most 1 / threshold words may share a single word with a similar line
     single = F.when((n > int(SHORT * threshold)) | (n <= int(1 / threshold + 1e-9)), n - low + 1).otherwise(0)
     double = F.when(n <= SHORT, F.expr("size(p) * (size(p) - 1) div 2").cast("int")).otherwise(0)
+    line = ["x", "y", "n", "even", "odd"]
+    word = lambda place: F.element_at("p", place)
     entries = (
-        once.select("x", F.col("f.doc_id").alias("doc_id"), F.col("f.no").alias("no"), "n", "sig", "p", "again", single.alias("ones"), double.alias("twos"))
-        .select("x", "doc_id", "no", "n", "sig", "p", "again", "ones", F.explode(F.sequence(F.lit(1), ones + F.col("twos"))).alias("k"))
+        once.select(*line, F.col("f.doc_id").alias("doc_id"), F.col("f.no").alias("no"), "p", "again", single.alias("ones"), double.alias("twos"))
+        .select(*line, "doc_id", "no", "p", "again", "ones", F.explode(F.sequence(F.lit(1), ones + F.col("twos"))).alias("k"))
         # after the single words come the pairs (1, 2), (1, 3), (2, 3), (1, 4), ...: the greater place, then the lesser
         .withColumn("q", F.greatest(k - ones, F.lit(1)))
         .withColumn("hi", F.when(k <= ones, k).otherwise(F.ceil((F.sqrt(F.col("q") * 8 + 1) - 1) / 2).cast("int") + 1))
         .withColumn("lo", F.when(k <= ones, k).otherwise(F.col("q") - F.expr("(hi - 1) * (hi - 2) div 2").cast("int")))
-        .select("x", "doc_id", "no", "n", "sig", (F.col("again") & (k == 1)).alias("again"), F.col("hi").alias("i"), F.element_at("p", F.col("lo")).alias("u"), F.element_at("p", F.col("hi")).alias("v"))
+        .select(*line, "doc_id", "no", (F.col("again") & (k == 1)).alias("again"), F.col("hi").alias("i"), word(F.col("lo")).alias("u"), word(F.col("hi")).alias("v"), F.when(k < F.size("p"), word(F.least(k + 1, F.size("p")))).otherwise(0).alias("beside"))
     )
     # the rarer word comes first in the order; its bucket's count, rounded up
-    count = F.pow(F.lit(2.0), F.shiftrightunsigned("u", 52) / F.lit(32.0) + F.lit(1 / 32))
+    count = F.pow(F.lit(2.0), F.shiftrightunsigned("u", 52) / F.lit(4.0) + F.lit(1 / 4))
     salts = F.ceil(count / F.lit(GROUP)).cast("int")
-    salt = F.when(salts > 1, F.pmod(F.xxhash64("x", F.lit(3)), salts).cast("int")).otherwise(-1)
-    t = F.when(F.col("u") == F.col("v"), F.col("u")).otherwise(F.xxhash64("u", "v"))
-    return entries.select(salt.alias("salt"), "no", "n", "i", "doc_id", t.alias("t"), "sig", "x", "again")
+    alone = F.col("u") == F.col("v")
+    return entries.select(
+        F.when(alone, F.col("u")).otherwise(F.xxhash64("u", "v")).alias("t"), F.when(salts > 1, F.pmod(F.xxhash64("x", F.lit(3)), salts).cast("int")).otherwise(-1).alias("salt"), salts.alias("salts"),
+        "i", F.when(alone, F.col("beside")).otherwise(0).alias("beside"), "doc_id", "no", *line, "again",
+    )
 
 
-def parity(s: Column) -> Column:
-    """64 bits, each telling whether an odd number of a line's words fall on it: two lines whose bits differ in k
-    places differ in at least k words."""
-    return F.aggregate(s, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+def parity(s: Column) -> list[Column]:
+    """Two times 64 bits, each telling whether an odd number of a line's words fall on it: two lines whose bits differ
+    in k places differ in at least k words."""
+    flip = lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
+    half = lambda side: F.filter(s, lambda h: h.bitwiseAND(F.lit(64)) == side)
+    return [F.aggregate(half(side), F.lit(0).cast("long"), flip).alias(name) for side, name in ((0, "even"), (64, "odd"))]
 
 
 def promising(a: str, b: str, threshold: float, first: bool) -> Column:
@@ -122,121 +148,137 @@ def promising(a: str, b: str, threshold: float, first: bool) -> Column:
     need = F.ceil((n + m) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
     alone = (n > SHORT) | (m > SHORT)
     before = F.when(alone, 1).otherwise(F.least(i, j)) if first else F.least(i, j)
-    differ = F.bit_count(F.col(f"{a}sig").bitwiseXOR(F.col(f"{b}sig")))
-    return (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - F.lit(1e-9)) & (before + F.least(n - i, m - j) >= need) & (differ <= n + m - 2 * need)
+    bits = lambda c: F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")))
+    return (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - F.lit(1e-9)) & (before + F.least(n - i, m - j) >= need) & (bits("even") + bits("odd") <= n + m - 2 * need)
 
 
 def maybe_in(x: Column, wanted: DataFrame) -> Column:
-    """False only for hashes that aren't among those wanted: a bit set of FILTER longs, built from all of them."""
-    bits = wanted.groupBy(F.pmod("x", F.lit(FILTER)).cast("int").alias("b")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(x, 32), 64) as int))")).alias("v"))
-    sets = constant(bits, FILTER, "bigint")
-    return F.getbit(F.element_at(sets, F.pmod(x, F.lit(FILTER)).cast("int") + 1), F.pmod(F.shiftrightunsigned(x, 32), F.lit(64)).cast("int")) == 1
+    """False only for hashes that aren't among those wanted: a bit set of 7 bits in each of FILTER bytes, built from
+    all of them."""
+    place, bit = lambda x: F.pmod(x, F.lit(FILTER)).cast("int"), lambda x: F.pmod(F.shiftrightunsigned(x, 32), F.lit(7)).cast("int")
+    bits = wanted.groupBy(place(F.col("x")).alias("b")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), bit(F.col("x")))).alias("v"))
+    return F.getbit(at(constant(bits, FILTER), place(x)), bit(x)) == 1
+
+
+LINE, OTHER = ["x", "y"], ["o_x", "o_y"]
 
 
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (x, o) of lines, x of those whose word sets are similar. The words are kept in buckets by x: of both
-    joins only the pairs, and what the first adds to them, are shuffled."""
+    """Of pairs of lines those lines x, y whose word sets are similar to the other's. The words are kept in buckets by
+    line: of both joins only the pairs, and what the first adds to them, are shuffled."""
     spark = lines.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = pairs.select("x").union(pairs.select(F.col("o").alias("x"))).distinct()
-    wanted, _ = cut(wanted, "lines-wanted")
-    own = lines.where(maybe_in(F.col("x"), wanted)).select("x", "line").dropDuplicates(["x"]).join(wanted, "x", "left_semi").select("x", hashes(F.col("line")).alias("w"))
+    wanted, place = cut(pairs.select(*LINE).union(pairs.select(*OTHER)).distinct(), "lines-wanted")
+    own = lines.where(maybe_in(F.col("x"), wanted)).select(*LINE, "line").dropDuplicates(LINE).join(wanted, LINE, "left_semi").select(*LINE, hashes(F.col("line")).alias("w"))
     name = f"line_words_{uuid.uuid4().hex}"
-    own.write.bucketBy(parts, "x").format("parquet").saveAsTable(name)
+    own.write.bucketBy(parts, *LINE).format("parquet").saveAsTable(name)
     try:
         own = spark.table(name)
-        joined = pairs.join(own, "x").join(own.select(F.col("x").alias("o"), F.col("w").alias("v")), "o")
+        joined = pairs.join(own, LINE).join(own.toDF(*OTHER, "v"), OTHER)
         common = F.size(F.array_intersect("w", "v"))
-        similar, _ = cut(joined.where(common >= (F.size("w") + F.size("v") - common) * F.lit(threshold) - F.lit(1e-9)).select("x").distinct(), "lines-dead")
+        similar, _ = cut(joined.where(common >= (F.size("w") + F.size("v") - common) * F.lit(threshold) - F.lit(1e-9)).select(*LINE).distinct(), "lines-dead")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+    remove(spark, place)
     release(spark)
     return similar
 
 
 def dead_lines(lines: DataFrame, threshold: float, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """x of every distinct line that is similar to one whose first place is earlier; x, doc_id and no of the first
-    place of every line that occurs anew.
+    """Identity of every distinct line that is similar to one whose first place is earlier; identity, doc_id and no of
+    the first place of every line that occurs anew.
 
-    Entries that no other line shares are dropped at once. Every group of the others (a key and its salt) first
-    holds its lines against its earliest one, so copies that differ a little cost one comparison each, however
-    many there are. Lines that this leaves meet all earlier lines of their keys."""
+    Entries that no other line shares are dropped at once. Of those that share a key and the word beside it each is
+    first held against the earliest one, so copies that differ a little cost a comparison an entry, however many
+    there are. Lines that this leaves meet all earlier lines of their keys."""
     spark = lines.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    w = Window.partitionBy("t", "salt").orderBy("doc_id", "no", "x")
-    met = index(lines, threshold, min_words).repartition(parts, "t", "salt").select("*", F.first(F.struct("x", "n", "i", "sig")).over(w).alias("lead"), F.lead("x").over(w).alias("more"))
-    alone = F.col("more").isNull() & (F.col("lead.x") == F.col("x")) & (F.col("salt") < 0) & ~F.col("again")
-    # what stands against the group's earliest line, where the filters let it
-    against = F.when((F.col("lead.x") != F.col("x")) & promising("", "lead.", threshold, False), F.col("lead.x"))
-    met = met.where(~alone).select("salt", "no", "n", "i", "doc_id", "t", "sig", "x", "again", against.alias("o"))
+    order = ["doc_id", "no", "x", "y"]
+    near, whole = Window.partitionBy("t", "salt", "beside").orderBy(*order), Window.partitionBy("t", "salt").orderBy("beside", *order)
+    lead = F.first(F.struct(*LINE, "n", "i", "even", "odd")).over(near).alias("lead")
+    met = index(lines, threshold, min_words).repartition(parts, "t", "salt").select("*", lead, F.lag("x").over(whole).alias("less"), F.lead("x").over(whole).alias("more"))
+    alone = F.col("more").isNull() & F.col("less").isNull() & (F.col("salt") < 0) & ~F.col("again")
+    # what stands against the earliest line, where the filters let it
+    against = F.when(((F.col("lead.x") != F.col("x")) | (F.col("lead.y") != F.col("y"))) & promising("", "lead.", threshold, False), F.struct("lead.x", "lead.y"))
+    met = met.where(~alone).withColumn("o", against).drop("lead", "less", "more", "beside")
     name = f"line_index_{uuid.uuid4().hex}"
     # buckets by the group's key: lines meet the others of their group without another shuffle
     met.write.option("compression", "zstd").bucketBy(parts, "t", "salt").sortBy("t", "salt").format("parquet").saveAsTable(name)
+    places = []
     try:
         met = spark.table(name)
         release(spark)
-        anew, _ = cut(met.where("again").select("x", "doc_id", "no"), "lines-anew")
-        pairs, _ = cut(met.where("o is not null").select("x", "o").distinct(), "line-pairs")
+        anew, _ = cut(met.where("again").select(*LINE, "doc_id", "no"), "lines-anew")
+        pairs, place = cut(met.where("o is not null").select(*LINE, F.col("o.x").alias("o_x"), F.col("o.y").alias("o_y")).distinct(), "line-pairs")
+        places.append(place)
         release(spark)  # once more: Spark may hold on to the last command's plan until others have run
         dead = verified(pairs, lines, threshold)
-        other = met.select("t", "salt", F.col("i").alias("o_i"), F.col("n").alias("o_n"), F.col("sig").alias("o_sig"), F.col("x").alias("o_x"), F.col("doc_id").alias("od"), F.col("no").alias("ono"))
-        earlier = (F.col("od") < F.col("doc_id")) | ((F.col("od") == F.col("doc_id")) & (F.col("ono") < F.col("no")))
-        fits = earlier & promising("", "o_", threshold, True)
         own = met.drop("o", "again")
-        # lines that their group's earliest one removed have to meet no other
-        salted = own.where("salt >= 0").join(dead, "x", "left_anti").join(other.where("salt >= 0").withColumnRenamed("salt", "o_salt"), "t").where((F.col("salt") != F.col("o_salt")) & fits).select("x", "o_x")
+        other = own.drop("salts").toDF("t", "salt", *[f"o_{c}" for c in own.columns[3:]])
+        place, o_place = F.struct("doc_id", "no"), F.struct("o_doc_id", "o_no")
+        fits = (o_place < place) & promising("", "o_", threshold, True)
+        # lines that an earliest one removed have to meet no other; what the bit set may mistake for removed comes by the exact way
         maybe = maybe_in(F.col("x"), dead)
-        spared = own.where(~maybe)
-        rest = spared.join(other, ["t", "salt"]).where(fits).select("x", "o_x")
-        # what the bit set may mistake for removed comes by the exact way
-        mistaken = own.where(maybe).join(dead, "x", "left_anti").join(other, ["t", "salt"]).where(fits).select("x", "o_x")
-        rest, _ = cut(rest.union(mistaken).union(salted).select("x", F.col("o_x").alias("o")).distinct(), "line-pairs")
+        some = own.where(maybe).join(dead, LINE, "left_anti").select(*own.columns)
+        rest = own.where(~maybe).join(other, ["t", "salt"]).where(fits).select(*LINE, *OTHER)
+        mistaken = some.join(other, ["t", "salt"]).where(fits).select(*LINE, *OTHER)
+        # a salted line meets the other salts of its key one by one
+        spread = own.where(~maybe & (F.col("salt") >= 0)).unionByName(some.where("salt >= 0"))
+        spread = spread.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).where("to <> salt").drop("salt").withColumnRenamed("to", "salt")
+        salted = spread.join(other.where("salt >= 0"), ["t", "salt"]).where(fits).select(*LINE, *OTHER)
+        rest, place = cut(rest.union(mistaken).union(salted).distinct(), "line-pairs")
+        places.append(place)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return dead.union(verified(rest, lines, threshold)), anew
+    dead = dead.union(verified(rest, lines, threshold))
+    for place in places:
+        remove(spark, place)
+    return dead, anew
 
 
 def removals(docs: DataFrame, threshold: float, min_words: int) -> DataFrame:
     """doc_id (null as the smallest long), h (hash of the text), gone: the sorted numbers of the lines to remove, for
     documents that have any."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = all_lines(docs)
-    dead, anew = dead_lines(lines, threshold, min_words)
-    places = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
-    places = places.where(F.length("line") >= 2 * min_words - 1).select("doc_id", "h", "no", F.xxhash64("line").alias("x"))
-    fate = anew.select("x", F.col("doc_id").alias("fd"), F.col("no").alias("fno")).join(dead.withColumn("dead", F.lit(True)), "x", "full_outer").withColumn("dead", F.coalesce("dead", F.lit(False)))
+    doc_id, text = texts(docs)
+    dead, anew = dead_lines(all_lines(docs), threshold, min_words)
+    places = docs.select(doc_id.alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
+    places = places.where(F.length("line") >= 2 * min_words - 1).select("doc_id", "h", "no", *identity(F.col("line")))
+    fate = anew.select(*LINE, F.col("doc_id").alias("fd"), F.col("no").alias("fno")).join(dead.withColumn("dead", F.lit(True)), LINE, "full_outer").withColumn("dead", F.coalesce("dead", F.lit(False)))
     later = (F.col("doc_id") > F.col("fd")) | ((F.col("doc_id") == F.col("fd")) & (F.col("no") > F.col("fno")))
-    return places.join(fate, "x").where(F.col("dead") | later).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("no")).alias("gone"))
+    return places.join(fate, LINE).where(F.col("dead") | later).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("no")).alias("gone"))
 
 
-def joined(docs: DataFrame, threshold: float, min_words: int, keep: list[Column]) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    gone = removals(docs, threshold, min_words).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("gone").alias("__gone"))
-    key = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__d"), F.xxhash64(text).alias("__h"))
-    return key.join(gone, ["__d", "__h"], "left").withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
+def joined(docs: DataFrame, threshold: float, min_words: int, keep: dict[str, Column]) -> DataFrame:
+    """The columns in `keep`, and `gone`; no name of docs' columns is used beside them."""
+    gone = removals(docs, threshold, min_words).toDF("d", "h", "gone")
+    key = docs.select(*[c.alias(n) for n, c in keep.items()], texts(docs)[0].alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    return key.join(gone, ["d", "h"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (numbers of the lines to remove from 0, comma-joined) of every document.
 
     A line is removed if an earlier line anywhere (by doc_id, then number) has a set of words with Jaccard
-    similarity of at least the threshold; equal lines are similar. Lines end at newlines, words at blanks. Lines of
-    fewer than `min_words` distinct words always stay. Null and empty texts are one empty line. Repeated rows, and
-    rows that share a doc_id, don't remove each other's line of the same number. Null ids come before all others.
-    No rows give no rows; other columns are ignored, whatever their names. Lines are told apart by 64-bit hashes."""
+    similarity of at least the threshold; equal lines are similar. Lines end at newlines, words at blanks (U+0020,
+    tab, vertical tab, form feed, carriage return). Lines of fewer than `min_words` distinct words always stay, so by
+    default blank ones. Null and empty texts are one empty line. Repeated rows, and rows that share a doc_id, don't
+    remove each other's line of the same number. Null ids come before all others. No rows give no rows; other
+    columns are ignored, whatever their names. Lines are told apart by 128-bit hashes, a line's words by 64-bit
+    ones."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = joined(docs, threshold, min_words, [F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(text, "\n", -1)).alias("n_lines")])
-    return out.select("doc_id", "n_lines", F.size("__gone").alias("n_removed"), F.array_join(F.transform("__gone", lambda x: x.cast("string")), ",").alias("removed"))
+    out = joined(docs, threshold, min_words, {"doc_id": F.col("doc_id").cast("long"), "n_lines": F.size(F.split(text, "\n", -1))})
+    return out.select("doc_id", "n_lines", F.size("gone").alias("n_removed"), F.array_join(F.transform("gone", lambda x: x.cast("string")), ",").alias("removed"))
 
 
 def without_repeats(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with those lines taken out of text, and n_chars set anew if there; no document goes."""
-    out = joined(docs, threshold, min_words, [F.col(f"`{c}`") for c in docs.columns])
-    some = F.size("__gone") > 0
-    lines = F.split(F.col("text"), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(some, F.array_join(F.transform(left, lambda i: F.element_at(F.col("__lines"), i + 1)), "\n")).otherwise(F.col("text"))
-    out = out.withColumn("__lines", F.when(some, lines)).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(some, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with those lines taken out of text, and n_chars set anew if there; no document goes, other columns stay as
+    they are."""
+    name = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    out = joined(docs, threshold, min_words, {n: F.col(f"`{c}`") for c, n in name.items()})
+    old, some = F.col(name["text"]), F.size("gone") > 0
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    out = out.withColumn("lines", F.when(some, F.split(old, "\n", -1)))
+    out = out.withColumn("new", F.when(some, F.array_join(F.transform(left, lambda i: F.element_at(F.col("lines"), i + 1)), "\n")).otherwise(old))
+    chars = lambda c: F.when(some, F.char_length("new").cast("long")).otherwise(F.col(c))
+    made = {"text": F.col("new")} | ({"n_chars": chars(name["n_chars"])} if "n_chars" in name else {})
+    return out.select(*[made.get(c, F.col(n)).alias(c) for c, n in name.items()])

@@ -73,8 +73,8 @@ FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
     "op2_line_dedup": """
 WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 o AS (SELECT doc_id, unnest(range(len(ls))) AS no, unnest(ls) AS line FROM s),
-w AS (SELECT doc_id, no, line, list_sort(list_distinct(list_filter(string_split(line, ' '), lambda x: x <> ''))) AS ws FROM o),
-f AS (SELECT ws, min(struct_pack(d := doc_id, n := no)) AS f FROM w WHERE len(ws) >= 3 GROUP BY ws),
+w AS (SELECT doc_id, no, line, list_sort(list_distinct(list_filter(string_split(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda x: x <> ''))) AS ws FROM o),
+f AS (SELECT ws, min(struct_pack(d := doc_id, n := no)) AS f FROM w WHERE len(ws) >= 1 GROUP BY ws),
 g AS (SELECT row_number() OVER (ORDER BY f) AS id, ws, f FROM f),
 u AS (SELECT id, len(ws) AS n, unnest(ws) AS w FROM g),
 p AS (SELECT b.id, b.n, a.n AS m, count(*) AS c FROM u a JOIN u b ON a.w = b.w AND a.id < b.id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n),

@@ -74,8 +74,8 @@ def test_embeddings_against_brute_force(spark):
     assert got == {i: (int(link[i].sum()), int(label[i]), i == label[i]) for i in range(len(rows))} | {r[0]: (0, r[0], True) for r in odd}
 
 
-def brute_lines(rows, threshold=0.8, least=3):
-    places = sorted((d, n, frozenset(w for w in line.split(" ") if w)) for d, t in rows for n, line in enumerate((t or "").split("\n")))
+def brute_lines(rows, threshold=0.8, least=1):
+    places = sorted((d, n, frozenset(re.findall(r"[^\x20\t\x0b\x0c\r]+", line))) for d, t in rows for n, line in enumerate((t or "").split("\n")))
     first = {}
     for d, n, s in places:
         if len(s) >= least:
@@ -98,10 +98,10 @@ def test_lines_against_brute_force(spark, monkeypatch, group):
         if rows and rng.random() < 0.5:
             text = [[rng.choice(words) if rng.random() < 0.08 else w for w in line] for line in rng.choice(rows)[1]]
         else:
-            text = [[rng.choice(words[:12] if rng.random() < 0.3 else words) for _ in range(rng.choice([0, 1, 3, 4, 5, 8, 12, 14, 16, 20, 30]))] for _ in range(rng.randrange(6))]
+            text = [[rng.choice(words[:12] if rng.random() < 0.3 else words) for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 8, 12, 14, 16, 20, 30]))] for _ in range(rng.randrange(6))]
         rows.append((d, text))
-    rows = [(d, "\n".join(" ".join(line) for line in t)) for d, t in rows]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows = [(d, "\n".join(rng.choice([" ", " ", " ", "\t", "  ", " \r"]).join(line) for line in t)) for d, t in rows]
+    docs = spark.createDataFrame([(*r, 7, "h") for r in rows], "doc_id long, text string, x int, `lines` string")
     want = brute_lines(rows)
     assert sum(map(len, want.values())) > 50
     assert {r.doc_id: r.removed for r in lines.repeated_lines(docs).collect()} == {d: ",".join(map(str, sorted(want[d]))) for d, _ in rows}
