@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import map_batches
+from .util import map_batches, slices
 
 #: Labelled documents that the model is fitted on at most: those with the smallest hashes of their ids.
 TRAIN_DOCS = 20_000
@@ -23,10 +23,14 @@ PRIOR = 50.0
 Z_MIN = 3.0
 #: What a word that isn't listed takes from a segment's score.
 DRIFT = 0.5
-#: Words that a worker remembers.
-REMEMBERED = 500_000
+#: Tokens that a worker remembers; units that a training task counts before it sends them on.
+REMEMBERED, COUNTED = 200_000, 500_000
+#: Documents of a batch that are scored at a time.
+SLICE = 256
 
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Scores of tokens of a few words, none of them listed.
+PLAIN = [(-DRIFT,) * k for k in range(8)]
 
 
 def units(word: str) -> list[str]:
@@ -39,23 +43,23 @@ def words(token: str) -> list[str]:
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end exclusive, score) in one pass: each candidate keeps the sums up to
-    its two ends and joins earlier candidates only where the joint segment scores more than either."""
-    found: list[tuple[int, int, float, float]] = []  # start, end, sum before start, sum at end
-    total = 0.0
+    """All maximal scoring segments (start, end exclusive, score) in linear time: each candidate keeps the sums up to
+    its two ends and the nearest earlier candidate with a smaller sum before it; whatever a search passes over is
+    never looked at again, since the candidate that searched links past it or takes it in."""
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, sum before start, sum at end, link
     upto = np.concatenate([[0.0], np.cumsum(scores)]).tolist()
     for at in np.nonzero(scores > 0)[0].tolist():
-        start, before, total = at, upto[at], upto[at + 1]
-        while found:
-            k = len(found) - 1
+        start, before, total, k = at, upto[at], upto[at + 1], len(found) - 1
+        while True:
             while k >= 0 and found[k][2] >= before:
-                k -= 1
+                k = found[k][4]
             if k < 0 or found[k][3] >= total:
                 break
-            start, before = found[k][0], found[k][2]
+            start, _, before, _, link = found[k]
             del found[k:]
-        found.append((start, at + 1, before, total))
-    return [(s, e, hi - lo) for s, e, lo, hi in found]
+            k = link
+        found.append((start, at + 1, before, total, k))
+    return [(s, e, hi - lo) for s, e, lo, hi, _ in found]
 
 
 @dataclass
@@ -81,7 +85,8 @@ class Model:
                 if got is None:
                     if len(memory) > REMEMBERED:
                         memory.clear()
-                    got = memory[token] = tuple(self.word_score(w) for w in words(token))
+                    got = tuple([self.word_score(w) for w in words(token)])
+                    got = memory[token] = PLAIN[len(got)] if got in PLAIN else got  # one object for all unlisted words
                 flat += got
             scores = np.array(flat)
             out, excess = [], 0.0
@@ -160,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
                         own.update(units(w))
                 seen[y].update(own)
                 docs_words[y] += 1, len(tokens)
-            if len(seen[0]) + len(seen[1]) > REMEMBERED:
+            if len(seen[0]) + len(seen[1]) > COUNTED:
                 yield from flush(seen)
         yield from flush(seen)
         yield {"u": [None, ""], "n0": docs_words[0], "n1": docs_words[1]}
@@ -218,17 +223,33 @@ def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -
     known = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double, predicted int, passages string"])
+    sent = [*keep, *([] if text in keep else [text])]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        m, memory = known.value, {}
-        for b in batches:
-            got = list(m.features(b.column(b.num_columns - 1).to_pylist(), memory))
+        m, memory, at = known.value, {}, sent.index(text)
+        for b in slices(batches, SLICE):
+            got = list(m.features(b.column(at).to_pylist(), memory))
             p = [m.probability(x) for x, _ in got]
             yield {c: b.column(k) for k, c in enumerate(keep)} | {
                 "score": p, "predicted": [int(x >= 0.5) for x in p], "passages": [",".join(f"{s}-{e}:{v:.3f}" for s, e, v in segs) for _, segs in got]
             }
 
-    return map_batches(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("__text")), run, ddl)
+    return map_batches(docs.select(*[F.col(f"`{c}`") for c in sent]), run, ddl)
+
+
+def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs that the model doesn't call toxic, as they are. Every column goes through the scoring once."""
+    known = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(names))])  # names may clash or hold signs that a schema's text can't
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        m, memory, at = known.value, {}, names.index(text)
+        for b in slices(batches, SLICE):
+            good = b.filter(pa.array([m.probability(x) < 0.5 for x, _ in m.features(b.column(at).to_pylist(), memory)], pa.bool_()))
+            yield {f"c{k}": good.column(k) for k in range(good.num_columns)}
+
+    return map_batches(numbered, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema)).toDF(*names)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:
@@ -239,5 +260,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Dat
     document gets one low score. Repeated rows get equal results; no rows give no rows; other columns are ignored,
     whatever their names. A null doc_id counts as empty text in the fold's crc32 (held out)."""
     model = fit(docs, labels, limit=limit)
-    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ["doc_id"])
+    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model, ["doc_id"])
     return out.withColumn("held_out", bucket(F.col("doc_id"), 5) == 0).select("doc_id", "held_out", "score", "predicted", "passages")

@@ -69,6 +69,13 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable
     return df.mapInArrow(run, schema)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows at most: what Python holds of a batch is held a part at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """Connected components of edges (a long, b long): one row (node, root) per node in an edge; root is the
     smallest node of the component. Alternates large-star and small-star steps, each a grouped minimum (which
