@@ -11,10 +11,7 @@ from sievewright.llm.util import cut, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labelled rows among docs, doesn't call toxic."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # no column's name can meet those that scoring adds
-    clean = toxicity.scored(numbered, model, numbered.columns, text=f"c{docs.columns.index('text')}").where(F.col("predicted") == 0)
-    return clean.select(*numbered.columns).toDF(*docs.columns)
+    return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
