@@ -19,6 +19,8 @@ SHORT = 15
 MIN_WORDS = 1
 #: Index entries that may share a key before the key is salted.
 GROUP = 50_000
+#: Keys by which a line meets a leader at most.
+LEADS = 6
 #: Bytes of the bit set that keeps lines without a candidate out of a shuffle. A corpus with more candidates than it
 #: tells apart shuffles more lines; the exact join that follows decides.
 FILTER = 1 << 18
@@ -89,55 +91,64 @@ def least_overlap(n: Column, threshold: float) -> Column:
     return F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int")
 
 
-def index(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
-    """Prefix entries of the distinct lines: key t and salt (of so many salts), place i of the entry's word in the
-    line's order, the word `beside` it, the line's size n, identity x and y, first place (doc_id, no) and parity bits.
-    Similar lines share a word of their prefixes of n - overlap + 1 words, and two words of prefixes longer by one;
-    short lines, whose prefixes hold common words too, use the second rule, so that their keys are rare. `again`
-    marks one entry of each line that occurs anew."""
+def ranked_lines(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
+    """The distinct lines: identity x and y, first place (doc_id, no), size n, parity bits and p, the prefix of
+    n - overlap + 2 words."""
     common = commonness(lines)
-    n, low = F.col("n"), least_overlap(F.col("n"), threshold)
-    once = (
+    release(lines.sparkSession)
+    n = F.col("n")
+    return (
         lines.where(F.length("line") >= 2 * min_words - 1)
         .select("x", "y", "doc_id", "no", ranked(F.col("line"), common).alias("s"))
         .select("x", "y", "doc_id", "no", F.size("s").alias("n"), "s")
-        .select("x", "y", "doc_id", "no", "n", *parity(F.col("s")), F.slice("s", 1, n - low + 2).alias("p"))
+        .select("x", "y", "doc_id", "no", "n", *parity(F.col("s")), F.slice("s", 1, n - least_overlap(n, threshold) + 2).alias("p"))
         .groupBy("x", "y")
-        .agg(F.min(F.struct("doc_id", "no")).alias("f"), F.first("n").alias("n"), F.first("even").alias("even"), F.first("odd").alias("odd"), F.first("p").alias("p"), (F.count("*") > 1).alias("again"))
+        .agg(F.min(F.struct("doc_id", "no")).alias("f"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("more_bits").alias("more_bits"), F.first("p").alias("p"))
         .where(n >= min_words)  # here, as a filter before the grouping would rank every line's words twice
+        .select("x", F.col("f.doc_id").alias("doc_id"), F.col("f.no").alias("no"), "n", "bits", "more_bits", "p")
     )
-    ones, k = F.col("ones"), F.col("k")
+
+
+def salts(word: Column) -> Column:
+    """Parts of a key whose rarer word is this one: by its bucket's count, rounded up."""
+    return F.ceil(F.pow(F.lit(2.0), F.shiftrightunsigned(word, 52) / F.lit(4.0) + F.lit(1 / 4)) / F.lit(GROUP)).cast("int")
+
+
+def salt(salts: Column) -> Column:
+    return F.when(salts > 1, F.pmod(F.xxhash64("x", F.lit(3)), salts).cast("int")).otherwise(-1)
+
+
+def entries(once: DataFrame, threshold: float, keep: list[str]) -> DataFrame:
+    """Prefix entries of lines: key t and salt (of so many salts), place i of the entry's word in the line's order and
+    the columns in `keep`. Similar lines share a word of their prefixes of n - overlap + 1 words, and two words of
+    prefixes longer by one; short lines, whose prefixes hold common words too, use the second rule, so that their
+    keys are rare."""
+    n, ones, k = F.col("n"), F.col("ones"), F.col("k")
     # a line of at most SHORT * threshold words has no similar line above SHORT: only lines between need both kinds
     # of entry; one of at most 1 / threshold words may share a single word with a similar line
-    single = F.when((n > int(SHORT * threshold)) | (n <= int(1 / threshold + 1e-9)), n - low + 1).otherwise(0)
+    single = F.when((n > int(SHORT * threshold)) | (n <= int(1 / threshold + 1e-9)), n - least_overlap(n, threshold) + 1).otherwise(0)
     double = F.when(n <= SHORT, F.expr("size(p) * (size(p) - 1) div 2").cast("int")).otherwise(0)
-    line = ["x", "y", "n", "even", "odd"]
-    word = lambda place: F.element_at("p", place)
-    entries = (
-        once.select(*line, F.col("f.doc_id").alias("doc_id"), F.col("f.no").alias("no"), "p", "again", single.alias("ones"), double.alias("twos"))
-        .select(*line, "doc_id", "no", "p", "again", "ones", F.explode(F.sequence(F.lit(1), ones + F.col("twos"))).alias("k"))
+    found = (
+        once.select(*keep, "p", single.alias("ones"), double.alias("twos"))
+        .select(*keep, "p", "ones", F.explode(F.sequence(F.lit(1), ones + F.col("twos"))).alias("k"))
         # after the single words come the pairs (1, 2), (1, 3), (2, 3), (1, 4), ...: the greater place, then the lesser
         .withColumn("q", F.greatest(k - ones, F.lit(1)))
         .withColumn("hi", F.when(k <= ones, k).otherwise(F.ceil((F.sqrt(F.col("q") * 8 + 1) - 1) / 2).cast("int") + 1))
         .withColumn("lo", F.when(k <= ones, k).otherwise(F.col("q") - F.expr("(hi - 1) * (hi - 2) div 2").cast("int")))
-        .select(*line, "doc_id", "no", (F.col("again") & (k == 1)).alias("again"), F.col("hi").alias("i"), word(F.col("lo")).alias("u"), word(F.col("hi")).alias("v"), F.when(k < F.size("p"), word(F.least(k + 1, F.size("p")))).otherwise(0).alias("beside"))
+        .select(*keep, F.col("hi").alias("i"), F.element_at("p", F.col("lo")).alias("u"), F.element_at("p", F.col("hi")).alias("v"))
     )
-    # the rarer word comes first in the order; its bucket's count, rounded up
-    count = F.pow(F.lit(2.0), F.shiftrightunsigned("u", 52) / F.lit(4.0) + F.lit(1 / 4))
-    salts = F.ceil(count / F.lit(GROUP)).cast("int")
-    alone = F.col("u") == F.col("v")
-    return entries.select(
-        F.when(alone, F.col("u")).otherwise(F.xxhash64("u", "v")).alias("t"), F.when(salts > 1, F.pmod(F.xxhash64("x", F.lit(3)), salts).cast("int")).otherwise(-1).alias("salt"), salts.alias("salts"),
-        "i", F.when(alone, F.col("beside")).otherwise(0).alias("beside"), "doc_id", "no", *line, "again",
-    )
+    t = F.when(F.col("u") == F.col("v"), F.col("u")).otherwise(F.xxhash64("u", "v"))  # the rarer word comes first
+    return found.select(*keep, "i", t.alias("t"), salts(F.col("u")).alias("salts")).select(*keep, "i", "t", "salts", salt(F.col("salts")).alias("salt"))
 
 
 def parity(s: Column) -> list[Column]:
-    """Two times 64 bits, each telling whether an odd number of a line's words fall on it: two lines whose bits differ
-    in k places differ in at least k words."""
-    flip = lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
-    half = lambda side: F.filter(s, lambda h: h.bitwiseAND(F.lit(64)) == side)
-    return [F.aggregate(half(side), F.lit(0).cast("long"), flip).alias(name) for side, name in ((0, "even"), (64, "odd"))]
+    """64 and 31 bits (a set sign would count more than once), each telling whether an odd number of a line's words fall
+    on it: two lines whose bits differ in k places differ in at least k words."""
+    place = lambda h: F.pmod(h.bitwiseAND(F.lit((1 << 52) - 1)), F.lit(95)).cast("int")
+    places = F.transform(s, place)
+    flip = lambda one: lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, k))
+    first = F.aggregate(F.filter(places, lambda k: k < 64), F.lit(0).cast("long"), flip(F.lit(1).cast("long")))
+    return [first.alias("bits"), F.aggregate(F.filter(places, lambda k: k >= 64), F.lit(0), flip(F.lit(1))).alias("more_bits")]
 
 
 def promising(a: str, b: str, threshold: float, first: bool) -> Column:
@@ -149,7 +160,7 @@ def promising(a: str, b: str, threshold: float, first: bool) -> Column:
     alone = (n > SHORT) | (m > SHORT)
     before = F.when(alone, 1).otherwise(F.least(i, j)) if first else F.least(i, j)
     bits = lambda c: F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")))
-    return (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - F.lit(1e-9)) & (before + F.least(n - i, m - j) >= need) & (bits("even") + bits("odd") <= n + m - 2 * need)
+    return (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - F.lit(1e-9)) & (before + F.least(n - i, m - j) >= need) & (bits("bits") + bits("more_bits") <= n + m - 2 * need)
 
 
 def maybe_in(x: Column, wanted: DataFrame) -> Column:
@@ -160,23 +171,20 @@ def maybe_in(x: Column, wanted: DataFrame) -> Column:
     return F.getbit(at(constant(bits, FILTER), place(x)), bit(x)) == 1
 
 
-LINE, OTHER = ["x", "y"], ["o_x", "o_y"]
-
-
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs of lines those lines x, y whose word sets are similar to the other's. The words are kept in buckets by
-    line: of both joins only the pairs, and what the first adds to them, are shuffled."""
+    """Of pairs (x, o) of lines the identity, x and y, of those x whose word sets are similar to the other's. The words
+    are kept in buckets by x: of both joins only the pairs, and what the first adds to them, are shuffled."""
     spark = lines.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted, place = cut(pairs.select(*LINE).union(pairs.select(*OTHER)).distinct(), "lines-wanted")
-    own = lines.where(maybe_in(F.col("x"), wanted)).select(*LINE, "line").dropDuplicates(LINE).join(wanted, LINE, "left_semi").select(*LINE, hashes(F.col("line")).alias("w"))
+    wanted, place = cut(pairs.select("x").union(pairs.select(F.col("o").alias("x"))).distinct(), "lines-wanted")
+    own = lines.where(maybe_in(F.col("x"), wanted)).select("x", "y", "line").dropDuplicates(["x", "y"]).join(wanted, "x", "left_semi").select("x", "y", hashes(F.col("line")).alias("w"))
     name = f"line_words_{uuid.uuid4().hex}"
-    own.write.bucketBy(parts, *LINE).format("parquet").saveAsTable(name)
+    own.write.bucketBy(parts, "x").format("parquet").saveAsTable(name)
     try:
         own = spark.table(name)
-        joined = pairs.join(own, LINE).join(own.toDF(*OTHER, "v"), OTHER)
+        joined = pairs.join(own, "x").join(own.select(F.col("x").alias("o"), F.col("w").alias("v")), "o")
         common = F.size(F.array_intersect("w", "v"))
-        similar, _ = cut(joined.where(common >= (F.size("w") + F.size("v") - common) * F.lit(threshold) - F.lit(1e-9)).select(*LINE).distinct(), "lines-dead")
+        similar, _ = cut(joined.where(common >= (F.size("w") + F.size("v") - common) * F.lit(threshold) - F.lit(1e-9)).select("x", "y").distinct(), "lines-dead")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     remove(spark, place)
@@ -184,68 +192,73 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     return similar
 
 
-def dead_lines(lines: DataFrame, threshold: float, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """Identity of every distinct line that is similar to one whose first place is earlier; identity, doc_id and no of
-    the first place of every line that occurs anew.
+def leaders(once: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (x, o): of the lines that share two neighbouring words of their prefixes each against the earliest, where
+    the filters let it. So copies that differ a little cost a few comparisons each, however many there are. It need
+    not find all: what it misses, the prefix join finds."""
+    u, v = F.element_at("p", F.col("k")), F.element_at("p", F.least(F.col("k") + 1, F.size("p")))
+    keys = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(LEADS), F.size("p") - 1)))).alias("k")
+    own = ["x", "doc_id", "no", "n", "bits", "more_bits"]
+    found = once.select(*own, "p", keys).select(*own, F.xxhash64(u, v).alias("t"), salt(salts(u)).alias("salt"), F.lit(1).alias("i"))
+    lead = F.first(F.struct("x", "n", "i", "bits", "more_bits")).over(Window.partitionBy("t", "salt").orderBy("doc_id", "no", "x")).alias("lead")
+    return found.select("*", lead).where((F.col("lead.x") != F.col("x")) & promising("", "lead.", threshold, True)).select("x", F.col("lead.x").alias("o")).distinct()
+
 
-    Entries that no other line shares are dropped at once. Of those that share a key and the word beside it each is
-    first held against the earliest one, so copies that differ a little cost a comparison an entry, however many
-    there are. Lines that this leaves meet all earlier lines of their keys."""
+def dead_lines(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
+    """Identity, x and y, of every distinct line that is similar to one whose first place is earlier.
+
+    First each line meets a few leaders. Lines that this leaves meet all earlier lines that share a key. Of both the
+    candidates are verified on their words, and what is similar is dead."""
     spark = lines.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["doc_id", "no", "x", "y"]
-    near, whole = Window.partitionBy("t", "salt", "beside").orderBy(*order), Window.partitionBy("t", "salt").orderBy("beside", *order)
-    lead = F.first(F.struct(*LINE, "n", "i", "even", "odd")).over(near).alias("lead")
-    met = index(lines, threshold, min_words).repartition(parts, "t", "salt").select("*", lead, F.lag("x").over(whole).alias("less"), F.lead("x").over(whole).alias("more"))
-    alone = F.col("more").isNull() & F.col("less").isNull() & (F.col("salt") < 0) & ~F.col("again")
-    # what stands against the earliest line, where the filters let it
-    against = F.when(((F.col("lead.x") != F.col("x")) | (F.col("lead.y") != F.col("y"))) & promising("", "lead.", threshold, False), F.struct("lead.x", "lead.y"))
-    met = met.where(~alone).withColumn("o", against).drop("lead", "less", "more", "beside")
-    name = f"line_index_{uuid.uuid4().hex}"
-    # buckets by the group's key: lines meet the others of their group without another shuffle
-    met.write.option("compression", "zstd").bucketBy(parts, "t", "salt").sortBy("t", "salt").format("parquet").saveAsTable(name)
-    places = []
+    name, places = f"line_index_{uuid.uuid4().hex}", []
+    # buckets by x: what is dead joins without another shuffle of the lines
+    ranked_lines(lines, threshold, min_words).repartition(parts, "x").write.bucketBy(parts, "x").format("parquet").saveAsTable(name)
     try:
-        met = spark.table(name)
+        once = spark.table(name)
         release(spark)
-        anew, _ = cut(met.where("again").select(*LINE, "doc_id", "no"), "lines-anew")
-        pairs, place = cut(met.where("o is not null").select(*LINE, F.col("o.x").alias("o_x"), F.col("o.y").alias("o_y")).distinct(), "line-pairs")
+        pairs, place = cut(leaders(once, threshold), "line-pairs")
         places.append(place)
-        release(spark)  # once more: Spark may hold on to the last command's plan until others have run
+        release(spark)
         dead = verified(pairs, lines, threshold)
-        own = met.drop("o", "again")
-        other = own.drop("salts").toDF("t", "salt", *[f"o_{c}" for c in own.columns[3:]])
-        place, o_place = F.struct("doc_id", "no"), F.struct("o_doc_id", "o_no")
-        fits = (o_place < place) & promising("", "o_", threshold, True)
-        # lines that an earliest one removed have to meet no other; what the bit set may mistake for removed comes by the exact way
-        maybe = maybe_in(F.col("x"), dead)
-        some = own.where(maybe).join(dead, LINE, "left_anti").select(*own.columns)
-        rest = own.where(~maybe).join(other, ["t", "salt"]).where(fits).select(*LINE, *OTHER)
-        mistaken = some.join(other, ["t", "salt"]).where(fits).select(*LINE, *OTHER)
-        # a salted line meets the other salts of its key one by one
-        spread = own.where(~maybe & (F.col("salt") >= 0)).unionByName(some.where("salt >= 0"))
-        spread = spread.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).where("to <> salt").drop("salt").withColumnRenamed("to", "salt")
-        salted = spread.join(other.where("salt >= 0"), ["t", "salt"]).where(fits).select(*LINE, *OTHER)
-        rest, place = cut(rest.union(mistaken).union(salted).distinct(), "line-pairs")
+        keep = ["x", "doc_id", "no", "n", "bits", "more_bits", "dead"]
+        left = once.join(dead.select("x").distinct().withColumn("dead", F.lit(True)), "x", "left").withColumn("dead", F.coalesce("dead", F.lit(False)))
+        all_ = entries(left, threshold, keep).drop("salts").repartition(parts, "t", "salt")
+        a, b = all_.alias("a"), all_.alias("b")  # one shuffle for both sides
+        later = F.struct("a.doc_id", "a.no") > F.struct("b.doc_id", "b.no")
+        open_ = (F.col("a.x") < F.col("b.x")) & F.when(later, ~F.col("a.dead")).otherwise(~F.col("b.dead")) & promising("a.", "b.", threshold, True)
+        pair = F.when(later, F.struct(F.col("a.x").alias("x"), F.col("b.x").alias("o"))).otherwise(F.struct(F.col("b.x").alias("x"), F.col("a.x").alias("o")))
+        rest = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.salt") == F.col("b.salt")) & open_).select(pair.alias("pair")).select("pair.*")
+        # a line under a salted key also meets the other salts, one by one
+        salted = entries(left.where(F.exists("p", lambda w: salts(w) > 1)), threshold, keep).where("salt >= 0")
+        spread = salted.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).where("to < salt").drop("salt").withColumnRenamed("to", "salt")
+        c, d = spread.alias("a"), salted.alias("b")
+        apart = F.col("a.x") != F.col("b.x")
+        far = c.join(d, (F.col("a.t") == F.col("b.t")) & (F.col("a.salt") == F.col("b.salt")) & apart & F.when(later, ~F.col("a.dead")).otherwise(~F.col("b.dead")) & promising("a.", "b.", threshold, True))
+        rest, place = cut(rest.union(far.select(pair.alias("pair")).select("pair.*")).distinct(), "line-pairs")
         places.append(place)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+    release(spark)
     dead = dead.union(verified(rest, lines, threshold))
     for place in places:
         remove(spark, place)
-    return dead, anew
+    return dead
 
 
 def removals(docs: DataFrame, threshold: float, min_words: int) -> DataFrame:
     """doc_id (null as the smallest long), h (hash of the text), gone: the sorted numbers of the lines to remove, for
     documents that have any."""
     doc_id, text = texts(docs)
-    dead, anew = dead_lines(all_lines(docs), threshold, min_words)
-    places = docs.select(doc_id.alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
-    places = places.where(F.length("line") >= 2 * min_words - 1).select("doc_id", "h", "no", *identity(F.col("line")))
-    fate = anew.select(*LINE, F.col("doc_id").alias("fd"), F.col("no").alias("fno")).join(dead.withColumn("dead", F.lit(True)), LINE, "full_outer").withColumn("dead", F.coalesce("dead", F.lit(False)))
+    dead = dead_lines(all_lines(docs), threshold, min_words)
+    line = F.col("line")
+    some = F.trim(line) != "" if min_words <= 1 else (F.length(line) >= 2 * min_words - 1) & (F.size(hashes(line)) >= min_words)
+    places = docs.select(doc_id.alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line")).where(some)
+    places, _ = cut(places.select("doc_id", "h", "no", *identity(line)), "line-places")
+    anew = places.groupBy("x", "y").agg(F.min(F.struct("doc_id", "no")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    fate = anew.select("x", "y", F.col("f.doc_id").alias("fd"), F.col("f.no").alias("fno")).join(dead.withColumn("dead", F.lit(True)), ["x", "y"], "full_outer").withColumn("dead", F.coalesce("dead", F.lit(False)))
     later = (F.col("doc_id") > F.col("fd")) | ((F.col("doc_id") == F.col("fd")) & (F.col("no") > F.col("fno")))
-    return places.join(fate, LINE).where(F.col("dead") | later).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("no")).alias("gone"))
+    return places.join(fate, ["x", "y"]).where(F.col("dead") | later).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("no")).alias("gone"))
 
 
 def joined(docs: DataFrame, threshold: float, min_words: int, keep: dict[str, Column]) -> DataFrame:
