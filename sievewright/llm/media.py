@@ -1,9 +1,11 @@
-"""Media columns: TIFF files, one row per page. Strips and tiles; PackBits, LZW and deflate; both predictors for
-integers; both byte orders. A plain writer for the same formats is beside the reader."""
+"""Media columns: TIFF files, one row per page. Strips and tiles; PackBits, LZW and deflate; the predictors of integers
+and floats; samples of 1 to 32 bits, side by side or in planes; both byte and fill orders. A plain writer is beside
+the reader."""
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -13,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import cut, map_batches
+from .util import cut, map_batches, slices
+from .util import struct as struct_
 
 # TIFF 6.0 tags, types (bytes of one value), compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -21,6 +24,13 @@ PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 284, 317
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CLEAR, END, FIRST = 256, 257, 258
+SAMPLE_FORMAT, FILL_ORDER = 339, 266
+#: LZW codes by how many came since the clear code: bits of each, and places of their first bits. The table grows by
+#: one with each code but the first, up to 4,096 entries; so many codes may come between clear codes at most.
+WIDTHS = np.minimum(12, np.array([(FIRST + k).bit_length() for k in range(1 << 16)]))
+STARTS = np.concatenate([[0], np.cumsum(WIDTHS)])
+RUN = re.compile(rb"(.)\1{2,127}", re.S)
+REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1], axis=1).ravel().tobytes()
 
 #: Pages of a file and bytes of a page that are decoded at most before the file counts as broken: directories can
 #: be chained in circles, and a header may claim any size.
@@ -46,94 +56,91 @@ def unpack_bits(data: bytes, size: int) -> bytes:
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, at, n = bytearray(), 0, len(data)
-    while at < n:
-        run = 1
-        while run < 128 and at + run < n and data[at + run] == data[at]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        end = at
-        while end < n and end - at < 128 and not (end + 2 < n and data[end] == data[end + 1] == data[end + 2]):
-            end += 1
-        out.append(end - at - 1)
-        out += data[at:end]
-        at = end
+    """Runs of three or more equal bytes, and what stands between them as it is, in packets of 128 at most."""
+    out, at = bytearray(), 0
+    for run in RUN.finditer(data):
+        for k in range(at, run.start(), 128):
+            part = data[k : min(k + 128, run.start())]
+            out.append(len(part) - 1)
+            out += part
+        out += bytes((257 - len(run[0]), run[0][0]))
+        at = run.end()
+    for k in range(at, len(data), 128):
+        out.append(len(data[k : k + 128]) - 1)
+        out += data[k : k + 128]
     return bytes(out)
 
 
 def unpack_lzw(data: bytes, size: int) -> bytes:
-    """Codes of 9 to 12 bits, high bit first; the width grows one code early, as the format has it."""
+    """Codes of 9 to 12 bits, high bit first; the width grows one code early, as the format has it. How wide a code is
+    follows from how many came since the last clear code, so that all codes up to the next are taken at once."""
     base = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, width, out, total = list(base), 9, [], 0
-    held = bits = 0
-    last = None
-    for byte in data:
-        held = (held << 8 | byte) & 0xFFFFFF
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits & ((1 << width) - 1)
-        if code == END or total >= size:
+    held, start, out, total = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.uint32), 0, [], 0
+    while total < size:
+        ends = start + STARTS[: (8 * len(data) - start) // 9 + 2]
+        n = int(np.searchsorted(ends[1:], 8 * len(data), "right"))
+        if not n:
             break
-        if code == CLEAR:
-            table, width, last = list(base), 9, None
-            continue
-        if last is None:
-            if code >= 256:
-                raise Broken("an LZW strip starts with an unknown code")
-            word = table[code]
-        else:
-            if code > len(table):
-                raise Broken("an LZW code is ahead of its table")
-            word = table[code] if code < len(table) else last + last[:1]
-            table.append(last + word[:1])
-        out.append(word)
-        total += len(word)
-        last = word
-        width = min(12, (len(table) + 1).bit_length())
+        byte, shift = ends[:n] >> 3, (ends[:n] & 7).astype(np.uint32)
+        words = held[byte] << 16 | held[byte + 1] << 8 | held[byte + 2]
+        codes = words >> (24 - shift - WIDTHS[:n]) & ((1 << WIDTHS[:n]) - 1)
+        stop = np.nonzero((codes == CLEAR) | (codes == END))[0]
+        here = int(stop[0]) if len(stop) else n
+        table, last = list(base), None
+        add, found = table.append, table.__getitem__
+        for code in codes[:here].tolist():
+            if last is None:
+                if code >= 256:
+                    raise Broken("an LZW strip starts with an unknown code")
+                last = found(code)
+            else:
+                if code > len(table):
+                    raise Broken("an LZW code is ahead of its table")
+                word = found(code) if code < len(table) else last + last[:1]
+                if len(table) < 4096:
+                    add(last + word[:1])
+                last = word
+            out.append(last)
+            total += len(last)
+        if here == n or codes[here] == END:
+            break
+        start = int(ends[here + 1])
     return b"".join(out)[:size]
 
 
 def pack_lzw(data: bytes) -> bytes:
-    out, held, bits, width = bytearray(), 0, 0, 9
-
-    def emit(code: int) -> None:
-        nonlocal held, bits
-        held = held << width | code
-        bits += width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-
-    emit(CLEAR)
-    table = {bytes((i,)): i for i in range(256)}
-    following, word = FIRST, b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
+    codes, since, at = [CLEAR], [0], 1  # since: places of the clear codes
+    table: dict[int, int] = {}
+    following, code = FIRST, -1
+    for byte in data:
+        if code < 0:
+            code = byte
+            continue
+        longer = table.get(code << 8 | byte)
+        if longer is not None:
+            code = longer
             continue
-        emit(table[word])
-        table[longer] = following
+        codes.append(code)
+        at += 1
+        table[code << 8 | byte] = following
         following += 1
         if following == 4095:  # before the reader's table could need 13 bits
-            emit(CLEAR)
-            table, following, width = {bytes((k,)): k for k in range(256)}, FIRST, 9
-        else:
-            width = following.bit_length()
-        word = data[i : i + 1]
-    if word:
-        emit(table[word])
-        width = min(12, (following + 1).bit_length())
-    emit(END)
-    if bits:
-        out.append(held << 8 - bits & 255)
-    return bytes(out)
+            codes.append(CLEAR)
+            since.append(at)
+            at += 1
+            table, following = {}, FIRST
+        code = byte
+    if code >= 0:
+        codes.append(code)
+    codes.append(END)
+    all_codes = np.array(codes, np.uint32)
+    widths = np.empty(len(codes), np.int64)
+    widths[0] = 9
+    for s, e in zip(since, [*since[1:], len(codes)], strict=True):  # a clear code is as wide as what it ends
+        own = widths[s + 1 : e + 1]
+        own[:] = WIDTHS[: len(own)]
+    bits = all_codes[:, None] >> np.arange(11, -1, -1, np.uint32) & 1
+    return np.packbits(bits[np.arange(12) >= 12 - widths[:, None]].astype(np.uint8)).tobytes()
 
 
 def decode(data: bytes, compression: int, size: int) -> bytes:
@@ -185,49 +192,64 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         yield order, tags
 
 
+def samples(raw: bytes, bits: int, kind: np.dtype, rows: int, width: int, n: int, predictor: int, order: str) -> np.ndarray:
+    """A strip's or tile's samples, [rows, width, n], with the predictor undone."""
+    if bits < 8:  # rows start at whole bytes
+        flat = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1)[:, : width * n * bits].reshape(rows, width * n, bits)
+        return (flat << np.arange(bits - 1, -1, -1, np.uint8)).sum(axis=2, dtype=np.uint8).reshape(rows, width, n)
+    if predictor == 3:  # differences of bytes, the highest of all samples of a row first
+        planes = np.cumsum(np.frombuffer(raw, np.uint8).reshape(rows, -1, n), axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, width * n)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, width, n).astype(kind.newbyteorder("="))
+    block = np.frombuffer(raw, kind.newbyteorder(order)).reshape(rows, width, n).astype(kind.newbyteorder("="))
+    return np.cumsum(block, axis=1, dtype=block.dtype) if predictor == 2 else block
+
+
 def read_page(data: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
-    """[height, width, samples] of 8- or 16-bit samples."""
+    """[height, width, samples]: samples of 1, 2, 4 or 8 bits as bytes, of 16 or 32 bits as unsigned numbers or floats."""
     one = lambda tag, default=None: tags.get(tag, (default,))[0]
     width, height, n = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     if not width or not height or not n:
         raise Broken("a page has no size")
-    bits = set(tags.get(BITS, (1,)))
-    if bits not in ({8}, {16}) or one(PLANAR, 1) != 1:
-        raise Broken(f"{sorted(bits)} bits a sample, planar configuration {one(PLANAR, 1)}: not read here")
-    kind = np.dtype(np.uint8) if bits == {8} else np.dtype(f"{order}u2")
+    depths, format_, predictor = set(tags.get(BITS, (1,))), one(SAMPLE_FORMAT, 1), one(PREDICTOR, 1)
+    bits = next(iter(depths))
+    kind = {(1, 1): "u1", (2, 1): "u1", (4, 1): "u1", (8, 1): "u1", (16, 1): "u2", (32, 1): "u4", (16, 3): "f2", (32, 3): "f4"}.get((bits, format_))
+    if len(depths) != 1 or kind is None:
+        raise Broken(f"{sorted(depths)} bits a sample of format {format_}: not read here")
+    if predictor not in (1, 2, 3) or predictor == 2 and (bits < 8 or format_ == 3) or predictor == 3 and format_ != 3:
+        raise Broken(f"predictor {predictor} is not known for {bits} bits of format {format_}")
+    kind, apart = np.dtype(kind), one(PLANAR, 1) == 2
     if width * height * n * kind.itemsize > MAX_PAGE_BYTES:
         raise Broken("a page claims too large a size")
     tiled = TILE_OFFSETS in tags
     w, h = (one(TILE_WIDTH, width), one(TILE_HEIGHT, height)) if tiled else (width, min(height, one(ROWS_PER_STRIP, height)))
-    if not w or not h:
-        raise Broken("strips or tiles without a size")
+    if not w or not h or w * h * n * kind.itemsize > MAX_PAGE_BYTES:
+        raise Broken("strips or tiles without a size, or too large")
     offsets, counts = (tags.get(TILE_OFFSETS, ()), tags.get(TILE_COUNTS, ())) if tiled else (tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_COUNTS, ()))
-    across, down = -(-width // w), -(-height // h)
-    if len(offsets) < across * down or len(counts) < across * down:
+    across, down, planes = -(-width // w), -(-height // h), n if apart else 1
+    if len(offsets) < across * down * planes or len(counts) < across * down * planes:
         raise Broken("strips or tiles are missing")
-    page = np.zeros((height, width, n), kind.newbyteorder("="))
-    for k in range(across * down):
-        y, x = k // across * h, k % across * w
+    page = np.zeros((height, width, n), kind)
+    own = 1 if apart else n
+    for k in range(across * down * planes):
+        plane, at = divmod(k, across * down)
+        y, x = at // across * h, at % across * w
         rows = h if tiled else min(h, height - y)
-        size = rows * w * n * kind.itemsize
-        raw = decode(data[offsets[k] : offsets[k] + counts[k]], one(COMPRESSION, NONE), size)
+        size = rows * -(-w * own * bits // 8)
+        raw = data[offsets[k] : offsets[k] + counts[k]]
+        raw = decode(raw.translate(REVERSED) if one(FILL_ORDER, 1) == 2 else raw, one(COMPRESSION, NONE), size)
         if len(raw) < size:
             raise Broken(f"strip or tile {k} is too short")
-        block = np.frombuffer(raw, kind).reshape(rows, w, n).astype(page.dtype)
-        if one(PREDICTOR, 1) == 2:
-            block = np.cumsum(block, axis=1, dtype=page.dtype)
-        elif one(PREDICTOR, 1) != 1:
-            raise Broken(f"predictor {one(PREDICTOR)} is not known")
-        page[y : y + rows, x : x + w] = block[: height - y, : width - x]
+        block = samples(raw, bits, kind, rows, w, own, predictor, order)
+        page[y : y + rows, x : x + w, plane : plane + own] = block[: height - y, : width - x]
     return page
 
 
-def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows: int = 1024, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
-    """A file of [height, width(, samples)] pages of uint8 or uint16 samples; `tile` is (width, height), both
-    multiples of 16."""
+def write_tiff(pages: list[np.ndarray], forms: list[tuple[int, int, tuple[int, int] | None]] | None = None, rows: int = 1024, order: str = "<") -> bytes:
+    """A file of [height, width(, samples)] pages of uint8, uint16 or float32 samples; each page's form is its
+    compression, predictor and tile, (width, height), both multiples of 16, or None for strips of `rows`."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(f"{order}HI", 42, 0))
     link = 4
-    for page in pages:
+    for page, (compression, predictor, tile) in zip(pages, forms or [(DEFLATE, 1, None)] * len(pages), strict=True):
         page = page[:, :, None] if page.ndim == 2 else page
         height, width, n = page.shape
         if tile:
@@ -241,11 +263,16 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
         for b in blocks:
             if predictor == 2:
                 b = np.diff(b, axis=1, prepend=np.zeros_like(b[:, :1]))
-            coded = encode(np.ascontiguousarray(b.astype(page.dtype.newbyteorder(order))).tobytes(), compression)
+            raw = np.ascontiguousarray(b.astype(page.dtype.newbyteorder(order))).tobytes()
+            if predictor == 3:
+                planes = np.ascontiguousarray(b.astype(page.dtype.newbyteorder(">"))).view(np.uint8).reshape(len(b), -1, page.dtype.itemsize).transpose(0, 2, 1)
+                flat = planes.reshape(len(b), -1, n)
+                raw = np.diff(flat, axis=1, prepend=np.zeros_like(flat[:, :1])).tobytes()
+            coded = encode(raw, compression)
             offsets.append(len(out))
             counts.append(len(coded))
             out += coded + b"\0" * (len(coded) % 2)
-        tags = {WIDTH: (4, [width]), HEIGHT: (4, [height]), BITS: (3, [page.dtype.itemsize * 8] * n), COMPRESSION: (3, [compression]), PHOTOMETRIC: (3, [1 if n < 3 else 2]), SAMPLES: (3, [n]), PLANAR: (3, [1]), PREDICTOR: (3, [predictor])}
+        tags = {WIDTH: (4, [width]), HEIGHT: (4, [height]), BITS: (3, [page.dtype.itemsize * 8] * n), COMPRESSION: (3, [compression]), PHOTOMETRIC: (3, [1 if n < 3 else 2]), SAMPLES: (3, [n]), PLANAR: (3, [1]), PREDICTOR: (3, [predictor]), SAMPLE_FORMAT: (3, [3 if page.dtype.kind == "f" else 1] * n)}
         tags |= {TILE_WIDTH: (4, [tile[0]]), TILE_HEIGHT: (4, [tile[1]]), TILE_OFFSETS: (4, offsets), TILE_COUNTS: (4, counts)} if tile else {STRIP_OFFSETS: (4, offsets), ROWS_PER_STRIP: (4, [rows]), STRIP_COUNTS: (4, counts)}
         entries = b""
         for tag in sorted(tags):
@@ -265,9 +292,9 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
 def feature(page: np.ndarray) -> str:
     """Size, mean, spread and entropy of the samples, and how much neighbours along a row differ."""
     flat = page.reshape(-1)
-    n = np.bincount(flat, minlength=1)
+    n = np.bincount(flat) if page.dtype.itemsize < 4 and page.dtype.kind == "u" else np.unique(flat, return_counts=True)[1]
     n = n[n > 0] / len(flat)
-    step = np.abs(np.diff(page.astype(np.int64), axis=1)).mean() if page.shape[1] > 1 else 0.0
+    step = np.abs(np.diff(page.astype(np.float64 if page.dtype.kind == "f" else np.int64), axis=1)).mean() if page.shape[1] > 1 else 0.0
     return f"w={page.shape[1]};h={page.shape[0]};s={page.shape[2]};mean={flat.mean():.4f};std={flat.std():.4f};entropy={-(n * np.log2(n)).sum() + 0.0:.4f};step={step:.4f}"
 
 
@@ -276,9 +303,12 @@ PAGES = "page int, width int, height int, samples int, bits int, feature string,
 
 def tiff_pages(media: DataFrame, keep: list[str], column: str = "media", pixels: bool = True) -> DataFrame:
     """The columns in `keep` and one row per page: page (from 0), width, height, samples, bits, feature, pixels (the
-    samples row by row in the machine's order, null unless asked for) and error. A page or file that can't be
-    read gives one row with the reason in error and nulls else; pages before it stay. Null media give no rows."""
-    ddl = ", ".join([*(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep), PAGES])
+    samples row by row in the machine's order, null unless asked for) and error; all of these begin with `tiff_` if a
+    kept column has one of their names. A page or file that can't be read gives one row with the reason in error and
+    nulls else; pages before it stay. Null media give no rows, an empty table none; repeated rows repeat theirs."""
+    names = struct_(PAGES).names
+    before = "tiff_" if set(keep) & set(names) else ""
+    ddl = ", ".join([*(f"k{i} {media.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), PAGES])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -286,9 +316,10 @@ def tiff_pages(media: DataFrame, keep: list[str], column: str = "media", pixels:
             for row in range(b.num_rows):  # a page at a time: pages may be large
                 data = b.column(len(keep))[row].as_py()
                 for page in () if data is None else pages_of(data, pixels):
-                    yield {c: [own[k][row]] for k, c in enumerate(keep)} | {k: [v] for k, v in page.items()}
+                    yield {f"k{k}": [own[k][row]] for k in range(len(keep))} | {k: [v] for k, v in page.items()}
 
-    return map_batches(media.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("__media")), run, ddl)
+    chosen = media.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{column}`").alias("media"))
+    return map_batches(chosen, run, ddl).toDF(*keep, *[before + c for c in names])
 
 
 def pages_of(data: bytes, pixels: bool = True) -> Iterator[dict]:
@@ -308,22 +339,20 @@ def pages_of(data: bytes, pixels: bool = True) -> Iterator[dict]:
         at += 1
 
 
-#: Width of the images that hold texts.
-ROW = 64
+#: Width of the images that hold texts, and rows of a page: longer texts go on on the next page.
+ROW, PAGE_ROWS = 64, 1024
+#: What a text's pages are stored with, in turn: compression, predictor, tile. A hash of the text says which comes first.
+FORMS = ((LZW, 1, None), (PACKBITS, 1, None), (DEFLATE, 2, None), (DEFLATE, 1, (ROW, 32)), (LZW, 1, (ROW, 32)))
 
 
 def text_image(text: str | None) -> tuple[int, bytes]:
-    """Bytes of a text, and the TIFF file that holds them, zero-padded to whole rows. By size the file uses LZW,
-    PackBits, deflate with differenced rows, or deflate in tiles, so equal texts give equal files."""
+    """Bytes of a text, and the TIFF file that holds them, zero-padded to whole rows. A hash of the text, not its size,
+    chooses the forms of its pages, so equal texts give equal files."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     page = np.frombuffer(raw.ljust(max(1, -(-len(raw) // ROW)) * ROW, b"\0"), np.uint8).reshape(-1, ROW)
-    if len(raw) <= 512:
-        return len(raw), write_tiff([page], LZW)
-    if len(raw) <= 2048:
-        return len(raw), write_tiff([page], PACKBITS)
-    if len(raw) <= 16_384:
-        return len(raw), write_tiff([page], DEFLATE, predictor=2)
-    return len(raw), write_tiff([page], DEFLATE, tile=(ROW, 1024))
+    first = zlib.crc32(raw)
+    pages = [page[at : at + PAGE_ROWS] for at in range(0, len(page), PAGE_ROWS)]
+    return len(raw), write_tiff(pages, [FORMS[(first + k) % len(FORMS)] for k in range(len(pages))], order="<>"[first // len(FORMS) % 2])
 
 
 def text_media(docs: DataFrame) -> DataFrame:
@@ -334,17 +363,15 @@ def text_media(docs: DataFrame) -> DataFrame:
     no rows give no rows; a null doc_id stays null; other columns are ignored, whatever their names."""
 
     def store(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                made = [text_image(t) for t in part.column(1).to_pylist()]
-                yield {"doc_id": part.column(0), "n_bytes": [n for n, _ in made], "media": [m for _, m in made]}
+        for part in slices(batches, 256):
+            made = [text_image(t) for t in part.column(1).to_pylist()]
+            yield {"doc_id": part.column(0), "n_bytes": [n for n, _ in made], "media": [m for _, m in made]}
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stored, _ = cut(map_batches(base, store, "doc_id long, n_bytes long, media binary"), "media")
 
     def back(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in slices(batches, 256):
             rows: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
             for data in b.column(2).to_pylist():
                 pages = list(pages_of(data))
