@@ -17,19 +17,19 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import map_batches
+from .util import map_batches, slices
 
 SPACE = "▁"
 #: Chance that a candidate merge is skipped.
 DROPOUT = 0.1
-#: Documents fall into so many variants by the hash of their text; equal words of a variant are cut alike.
-VARIANTS = 4
-#: Chunks that a worker remembers; those before them serve once more until so many others have come.
-REMEMBERED = 800_000
-#: What the place and the rank of a candidate merge add to the key of its hash.
-PLACE, RANK = 0x9E3779B1, 0xC2B2AE35
-#: Chunks of at most this many characters keep their agenda in a list, longer ones in a heap.
+#: States of parts' agendas, and chunks, that a worker remembers before it starts anew.
+REMEMBERED = 400_000
+#: What a part's place in its text, and the place and the rank of a candidate merge, add to the key of its hash.
+PART, PLACE, RANK = 0x85EBCA6B, 0x9E3779B1, 0xC2B2AE35
+#: Parts of at most this many characters keep their agenda in a list, and its states are remembered; longer ones use a heap.
 SHORT = 48
+#: Chunks that are drawn for at a time, and documents of a batch that are encoded at a time.
+BLOCK, SLICE = 1 << 16, 256
 NONE = 1 << 40
 
 WORDS = re.compile(r" *\w+|.", re.S)
@@ -70,55 +70,91 @@ class Codec:
         self.beside = {p[k : k + 2] for p in self.piece for k in range(len(p) - 1)}
         self.below = int(dropout * (MASK + 1))
         self.seed = seed
-        self.memory: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]  # chunks and their parts
-        self.earlier: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
         self.rank = {p: r for p, r in self.rank.items() if len(p) > 1}
+        self.forget()
 
     def skipped(self, key: int, place: int, rank: int) -> bool:
         return hashed(key, place, rank) < self.below
 
-    def cut(self, chunk: str, variant: int) -> list[int]:
-        """Ids of a chunk: candidate merges wait in an agenda by rank, then place; one that comes up is skipped for
-        good if the hash of seed, variant, chunk, place and piece says so, else merged."""
-        symbols = list(chunk.replace(" ", SPACE))
-        if SPACE in chunk:  # the sign itself is no blank: it keeps its own bytes
-            symbols = ["\0" + SPACE if c == SPACE else s for c, s in zip(chunk, symbols, strict=True)]
-        symbols = (self.short_agenda if len(symbols) <= SHORT else self.agenda)(symbols, self.key(chunk, variant))
-        ids = list(map(self.piece.get, symbols))
-        if None not in ids:
-            return ids
-        ids = []
-        for s in symbols:
-            known = self.piece.get(s)
-            if known is None:
-                ids += [self.byte[b] for b in s.removeprefix("\0" if len(s) > 1 else "").encode("utf-8", "surrogatepass")]
-            else:
-                ids.append(known)
-        return ids
+    def forget(self) -> None:
+        self.chunks: dict[str, tuple[int, ...]] = {}  # the first states of a chunk's parts
+        self.children: dict[int, int] = {}  # state after a state's k-th candidate is skipped
+        self.states: list[tuple[str, tuple[int, ...], int]] = []  # part, ordinals of skipped candidates, those before
+        self.result: list[bytes] = []  # ids if nothing more is skipped
+        self.start, self.count, self.candidates = array("q"), array("q"), array("I", [0])
+
+    def symbols(self, part: str) -> list[str]:
+        out = list(part.replace(" ", SPACE))
+        if SPACE in part:  # the sign itself is no blank: it keeps its own bytes
+            out = ["\0" + SPACE if c == SPACE else s for c, s in zip(part, out, strict=True)]
+        return out
 
-    def short_agenda(self, symbols: list[str], key: int) -> list[str]:
-        """The agenda as a list of ranks beside the symbols: its least entry, the leftmost of equals, comes up next."""
-        rank, below = self.rank.get, self.below
-        keys = [key ^ x for x in PLACES[: len(symbols)]]
+    def ids(self, symbols: list[str]) -> bytes:
+        ids = list(map(self.piece.get, symbols))
+        if None in ids:
+            ids = []
+            for s in symbols:
+                known = self.piece.get(s)
+                if known is None:
+                    ids += [self.byte[b] for b in s.removeprefix("\0" if len(s) > 1 else "").encode("utf-8", "surrogatepass")]
+                else:
+                    ids.append(known)
+        return array("I", ids).tobytes()
+
+    def state(self, part: str, skips: tuple[int, ...], before: int) -> int:
+        """A new state of a part's agenda: of all candidates that came up, by ordinal, some were skipped, the last of
+        them right before the `before`-th. What comes up from there if nothing more is skipped is remembered."""
+        symbols, rank = self.symbols(part), self.rank.get
+        places = PLACES[: len(symbols)]
         agenda = [rank(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
+        ordinal, start = 0, len(self.candidates)
         while agenda:
-            r = min(agenda)
+            r = min(agenda)  # the leftmost of equals comes up first
             if r == NONE:
                 break
             i = agenda.index(r)
-            if below:  # hashed(), in place
-                x = keys[i] ^ (r * RANK & MASK)
-                x = (x ^ x >> 16) * 0x7FEB352D & MASK
-                if (x ^ x >> 15) * 0x846CA68B & MASK < below:
-                    agenda[i] = NONE
-                    continue
+            if ordinal >= before:
+                self.candidates.append(places[i] ^ (r * RANK & MASK))
+            ordinal += 1
+            if ordinal - 1 in skips:
+                agenda[i] = NONE
+                continue
             p = symbols[i] = symbols[i] + symbols[i + 1]
-            del symbols[i + 1], keys[i + 1], agenda[i]
+            del symbols[i + 1], places[i + 1], agenda[i]
             if i:
                 agenda[i - 1] = rank(symbols[i - 1] + p, NONE)
             if i < len(agenda):
                 agenda[i] = rank(p + symbols[i + 1], NONE)
-        return symbols
+        self.start.append(start)
+        self.count.append(len(self.candidates) - start)
+        self.states.append((part, skips, before))
+        self.result.append(self.ids(symbols))
+        return len(self.states) - 1
+
+    def drawn(self, states: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The last state of parts with these keys: candidates are drawn for all parts at once, and a part whose
+        draw skips one goes on in the state that follows, until nothing more is skipped."""
+        states = states.copy()
+        active = np.nonzero(states >= 0)[0] if self.below else np.zeros(0, np.int64)
+        while len(active):
+            own = states[active]
+            start, count = np.frombuffer(self.start, np.int64)[own], np.frombuffer(self.count, np.int64)[own]
+            of, ends = np.repeat(np.arange(len(own)), count), np.cumsum(count)
+            place = np.arange(len(of)) - np.repeat(ends - count, count)
+            x = keys[active][of] ^ np.frombuffer(self.candidates, np.uint32)[start[of] + place]
+            x = (x ^ x >> np.uint32(16)) * np.uint32(0x7FEB352D)  # hashed(), for many at once
+            hit = np.nonzero((x ^ x >> np.uint32(15)) * np.uint32(0x846CA68B) < self.below)[0]
+            hit = hit[np.diff(of[hit], prepend=-1) > 0]  # the first of each part
+            active, place = active[of[hit]], place[hit]
+            follow = self.children.get
+            for at, key in zip(active.tolist(), (states[active] << 20 | place).tolist(), strict=True):
+                child = follow(key)
+                if child is None:
+                    part, skips, before = self.states[key >> 20]
+                    skipped = before + (key & 0xFFFFF)
+                    child = self.children[key] = self.state(part, (*skips, skipped), skipped + 1)
+                states[at] = child
+        return states
 
     def agenda(self, symbols: list[str], key: int) -> list[str]:
         """The agenda as a heap, for one chunk of any length."""
@@ -144,31 +180,64 @@ class Codec:
             offer(i, after[i])
         return [s for s in symbols if s]
 
-    def key(self, chunk: str, variant: int) -> int:
-        return zlib.crc32(chunk.encode("utf-8", "surrogatepass"), (self.seed * 0x9E3779B1 + variant * 0x85EBCA6B) & MASK)
-
-    def encode_many(self, texts: list[str], variants: list[int]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit bytes; a text gets the model's leading blank."""
-        split = [CHUNK.findall(" " + t) if t else [] for t in texts]
-        if sum(map(len, self.memory)) > REMEMBERED:  # what the coming texts need of it moves on, the rest is forgotten
-            self.earlier, self.memory = self.memory, [{} for _ in range(VARIANTS)]
-        for v in set(variants):
-            known, earlier = self.memory[v], self.earlier[v]
-            new = set().union(*[set(own).difference(known) for own, w in zip(split, variants, strict=True) if w == v])
-            for c in new:
-                ids = earlier.get(c)
-                if ids is None:
-                    own = self.apart(c)
-                    for p in own:
-                        if p not in known:
-                            known[p] = earlier.get(p) or array("I", self.cut(p, v)).tobytes()
-                    ids = known[own[0]] if len(own) == 1 else b"".join([known[p] for p in own])
-                known[c] = ids
-        for own, v in zip(split, variants, strict=True):
-            yield b"".join(map(self.memory[v].__getitem__, own))
-
-    def encode(self, text: str, variant: int = 0) -> bytes:
-        return next(self.encode_many([text], [variant]))
+    def first_states(self, chunk: str) -> tuple[int, ...]:
+        """The first states of a chunk's parts; none if a part is too long to be remembered."""
+        out = []
+        for part in self.apart(chunk):
+            if len(part) > SHORT:
+                return ()
+            out.append(self.state(part, (), 0))
+        self.chunks[chunk] = tuple(out)
+        return self.chunks[chunk]
+
+    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit bytes; a text gets the model's leading blank. A candidate
+        merge that comes up is skipped for good if the hash of seed, text, the part's place in the text, the
+        candidate's place and its piece says so, else merged."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        states: list[int] = []
+        long: dict[int, str] = {}
+        runs: list[tuple[int, int, int, int]] = []  # text, its key, its parts before, parts
+        for t, text in enumerate(texts):
+            key = zlib.crc32(text.encode("utf-8", "surrogatepass"), self.seed & MASK)
+            chunks, at = CHUNK.findall(" " + text) if text else [], 0
+            for k in range(0, len(chunks), BLOCK):
+                first = len(states)
+                for chunk in chunks[k : k + BLOCK]:
+                    own = self.chunks.get(chunk) or self.first_states(chunk)
+                    if own:
+                        states += own
+                        continue
+                    for part in self.apart(chunk):
+                        if len(part) > SHORT:
+                            long[len(states)] = part
+                            states.append(-1)
+                        else:
+                            states += self.chunks.get(part) or self.first_states(part)
+                runs.append((t, key, at, len(states) - first))
+                at += len(states) - first
+                if len(states) >= BLOCK:
+                    self.flush(states, long, runs, out)
+                    states, long, runs = [], {}, []
+        self.flush(states, long, runs, out)
+        yield from map(b"".join, out)
+
+    def flush(self, states: list[int], long: dict[int, str], runs: list[tuple[int, int, int, int]], out: list[list[bytes]]) -> None:
+        if not states:
+            return
+        keys = np.concatenate([np.arange(at, at + n, dtype=np.uint32) * np.uint32(PART) ^ np.uint32(key) for _, key, at, n in runs])
+        ids = list(map(self.result.__getitem__, self.drawn(np.array(states, np.int64), keys).tolist()))
+        for place, part in long.items():
+            ids[place] = self.ids(self.agenda(self.symbols(part), int(keys[place])))
+        end = 0
+        for t, _, _, n in runs:
+            out[t].append(b"".join(ids[end : end + n]))
+            end += n
+        if len(self.states) > REMEMBERED or len(self.chunks) > REMEMBERED:
+            self.forget()
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_many([text]))
 
     def apart(self, chunk: str) -> list[str]:
         """A chunk cut between words and other characters wherever no piece has the two characters side by side: no
@@ -188,28 +257,20 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def worker_codec(path: str, dropout: float = DROPOUT, seed: int = 0) -> Codec:
-    """A worker's codec: what it remembers, at most REMEMBERED chunks, serves all tasks that the worker runs."""
+    """A worker's codec: what it remembers, at most REMEMBERED states, serves all tasks that the worker runs."""
     return Codec(path, dropout, seed)
 
 
-def variant_of(text: str, variants: int = VARIANTS) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % variants
-
-
 def encoded(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = 0) -> DataFrame:
-    """doc_id, variant, ids (array of int) of every document; null and empty texts have no ids."""
+    """doc_id, ids (array of int) of every document; null and empty texts have no ids. Another seed gives other cuts."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]):
         codec = worker_codec(path, dropout, seed)
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                variants = [variant_of(t) for t in texts]
-                yield {"doc_id": part.column(0), "variant": variants, "ids": [np.frombuffer(i, "<i4") for i in codec.encode_many(texts, variants)]}
+        for part in slices(batches, SLICE):
+            yield {"doc_id": part.column(0), "ids": [np.frombuffer(i, "<i4") for i in codec.encode_many([t or "" for t in part.column(1).to_pylist()])]}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, variant int, ids array<int>")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
@@ -219,7 +280,7 @@ def decoded(rows: DataFrame, keep: list[str], path: str | None = None) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]):
         codec = worker_codec(path)
-        for b in batches:
+        for b in slices(batches, SLICE):
             ids = b.column(len(keep))
             yield {c: b.column(k) for k, c in enumerate(keep)} | {"text": [None if i is None else codec.decode(np.array(i, np.int64)) for i in ids.to_pylist()]}
 
@@ -227,28 +288,24 @@ def decoded(rows: DataFrame, keep: list[str], path: str | None = None) -> DataFr
 
 
 def round_trip(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = 0) -> DataFrame:
-    """doc_id, variant, n_ids, ids_crc32, decoded_sha256, lossless: encoded and decoded in one pass.
+    """doc_id, n_ids, ids_crc32, decoded_sha256, lossless: encoded and decoded in one pass.
 
-    ids_crc32 is over the ids as little-endian unsigned 32-bit numbers. Null and empty texts have no ids and decode
-    to an empty text. Texts of any length are encoded whole, word by word. Equal texts give equal results, repeated
-    rows too; a null doc_id stays null; no rows give no rows; other columns are ignored, whatever their names."""
+    ids_crc32 is over the ids as little-endian unsigned 32-bit numbers. Every occurrence of a word has draws of its
+    own. Null and empty texts have no ids and decode to an empty text. Texts of any length are encoded whole, word by
+    word. Equal texts give equal results, repeated rows too; a null doc_id stays null; no rows give no rows; other
+    columns are ignored, whatever their names."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]):
         codec = worker_codec(path, dropout, seed)
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                variants = [variant_of(t) for t in texts]
-                rows: dict[str, list] = {k: [] for k in ("variant", "n_ids", "ids_crc32", "decoded_sha256", "lossless")}
-                for text, v, ids in zip(texts, variants, codec.encode_many(texts, variants), strict=True):
-                    back = codec.decode(np.frombuffer(ids, "<u4"))
-                    got = (v, len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text)
-                    for k, x in zip(rows, got, strict=True):
-                        rows[k].append(x)
-                yield {"doc_id": part.column(0)} | rows
-
-    return map_batches(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, variant int, n_ids long, ids_crc32 long, decoded_sha256 string, lossless boolean"
-    )
+        for part in slices(batches, SLICE):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            rows: dict[str, list] = {k: [] for k in ("n_ids", "ids_crc32", "decoded_sha256", "lossless")}
+            for text, ids in zip(texts, codec.encode_many(texts), strict=True):
+                back = codec.decode(np.frombuffer(ids, "<u4"))
+                got = (len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text)
+                for k, x in zip(rows, got, strict=True):
+                    rows[k].append(x)
+            yield {"doc_id": part.column(0)} | rows
+
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, lossless boolean")
