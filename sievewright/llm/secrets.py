@@ -18,7 +18,8 @@ MIXED = r"(?=[%(a)s]{20})(?=[%(u)s]*[0-9])(?=[%(l)s]*[A-Z])(?=[%(c)s]*[a-z])[%(a
 PLAIN, SAFE = (MIXED % {"a": "A-Za-z0-9" + x, "u": "A-Za-z" + x, "l": "a-z0-9" + x, "c": "A-Z0-9" + x} for x in ("+/", "_-"))
 WEAK = (
     ("key", rf"(?<![A-Za-z0-9+/_-]){PLAIN}(?![A-Za-z0-9+/=_-])|(?<![A-Za-z0-9+_-]){SAFE}(?![A-Za-z0-9+=_-])", 0, 20),
-    ("endpoint", r"""[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D"'<>]+""", 0, 8),
+    # a scheme of at most 32 characters, begun where a run of letters begins: no place is looked at more often than that
+    ("endpoint", r"""(?<![a-z])[a-z][a-z0-9+.-]{0,31}://[^\x20\x09-\x0D"'<>]+""", 0, 8),
 )
 KINDS = [k for k, *_ in (*BASE, *WEAK)]
 #: Code points between the parts of one credential at most.
@@ -115,17 +116,22 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def redact(docs: DataFrame, scope: int = SCOPE, sign: str = "[SECRET]") -> DataFrame:
     """docs with every span of `text` replaced by a sign, overlapping spans by one, and n_chars set anew if there.
-    Texts without spans stay as they are, null ones too."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    Texts without spans stay as they are, null ones too; so do all other columns, whatever their names, and rows
+    without a doc_id or that repeat another."""
+    name = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    old = F.col(name["text"])
+    text = F.coalesce(old.cast("string"), F.lit(""))
     sorted_ = F.array_sort(F.concat("__base", "__linked"))
-    marked = scan(F.col("__all"), "struct<s:int,k:int,e:int>", F.lit(0), lambda x: x["e"], lambda a, b: F.greatest(a, b))
+    marked = scan(F.col("all"), "struct<s:int,k:int,e:int>", F.lit(0), lambda x: x["e"], lambda a, b: F.greatest(a, b))
     # what stands between the farthest end so far and the next start stays; a span that starts before that end adds no sign
     kept = F.transform(
         marked,
         lambda x: F.when(x["row"]["s"] >= x["before"], F.concat(F.substring(text, x["before"] + 1, x["row"]["s"] - x["before"]), F.lit(sign))).otherwise(F.lit("")),
     )
-    rest = F.substring(text, F.array_max(F.transform("__all", lambda x: x["e"])) + 1, F.char_length(text))
-    out = spans(docs, text, scope).withColumn("__all", sorted_).withColumn("text", F.when(F.size("__all") > 0, F.concat(F.array_join(kept, ""), rest)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__all") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    some = F.size("all") > 0
+    rest = F.substring(text, F.array_max(F.transform("all", lambda x: x["e"])) + 1, F.char_length(text))
+    out = spans(docs.toDF(*name.values()), text, scope).withColumn("all", sorted_).withColumn("new", F.when(some, F.concat(F.array_join(kept, ""), rest)).otherwise(old))
+    made = {"text": F.col("new")}
+    if "n_chars" in name:
+        made["n_chars"] = F.when(some, F.char_length("new").cast("long")).otherwise(F.col(name["n_chars"]))
+    return out.select(*[made.get(c, F.col(n)).alias(c) for c, n in name.items()])
