@@ -17,8 +17,11 @@ from .util import cut, map_batches
 CHUNK = 1 << 20
 #: Payloads below this are stored each time.
 REVISIT_FROM = 100
-#: Bytes of a record's headers before the archive counts as broken.
-MAX_HEADER = 1 << 20
+#: Bytes of an archive after which a task begins another one: what one task reads is that and a record at most.
+ARCHIVE = 1 << 26
+#: Bytes of the name of a header's field before the archive counts as broken. Values may be of any length, as a
+#: page's address may.
+MAX_NAME = 1 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -37,8 +40,9 @@ def headers(page_id: int | None, url: str | None, kind: str, digest: str, size:
     return "\r\n".join(fields).encode() + b"\r\n\r\n" + http
 
 
-def write(pages: DataFrame, chunk: int = CHUNK, revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """archive string, seq long, data binary: one archive per task; its data, by seq, are a WARC 1.1 file.
+def write(pages: DataFrame, chunk: int = CHUNK, revisit_from: int = REVISIT_FROM, archive_bytes: int = ARCHIVE) -> DataFrame:
+    """archive string, seq long, data binary: the data of an archive, by seq, are a WARC 1.1 file. A task writes
+    archives of at least `archive_bytes` each but for its last, and holds one chunk and one row.
 
     Of records with equal payloads of at least `revisit_from` bytes that with the smallest page_id is a response,
     others are revisits without a payload; their HTTP header keeps the length. The smallest ids are minima by
@@ -50,7 +54,15 @@ def write(pages: DataFrame, chunk: int = CHUNK, revisit_from: int = REVISIT_FROM
     known = base.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", "first")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        archive, seq, held = f"{TaskContext.get().partitionId():08d}", 0, bytearray()
+        task, number, seq, held = f"{TaskContext.get().partitionId():08d}", 0, 0, bytearray()
+
+        def whole(least: int):
+            nonlocal seq
+            while len(held) >= least and held:
+                yield {"archive": [f"{task}-{number:06d}"], "seq": [seq], "data": [bytes(held[:chunk])]}
+                seq += 1
+                del held[:chunk]
+
         for b in batches:
             for row in range(b.num_rows):
                 page_id, url, data, digest, first = (b.column(k)[row].as_py() for k in range(5))
@@ -59,13 +71,13 @@ def write(pages: DataFrame, chunk: int = CHUNK, revisit_from: int = REVISIT_FROM
                 body = memoryview(data) if kind == "response" else memoryview(b"")
                 for at in range(0, len(body), chunk):
                     held += body[at : at + chunk]
-                    while len(held) >= chunk:
-                        yield {"archive": [archive], "seq": [seq], "data": [bytes(held[:chunk])]}
-                        seq += 1
-                        del held[:chunk]
+                    yield from whole(chunk)
                 held += b"\r\n\r\n"
-        if held:
-            yield {"archive": [archive], "seq": [seq], "data": [bytes(held)]}
+                yield from whole(chunk)
+                if seq * chunk + len(held) >= archive_bytes:
+                    yield from whole(1)
+                    number, seq = number + 1, 0
+        yield from whole(1)
 
     return map_batches(known, run, "archive string, seq long, data binary")
 
@@ -75,18 +87,29 @@ class Parser:
 
     def __init__(self, archive: str, chunk: int, with_data: bool) -> None:
         self.archive, self.chunk, self.with_data = archive, chunk, with_data
-        self.held, self.record, self.offset = bytearray(), None, 0
+        self.held, self.record = bytearray(), None
+        self.searched = self.checked = 0  # of a header that isn't there whole
 
     def head(self) -> bytes | None:
-        end = self.held.find(b"\r\n\r\n")
+        """The header, once it is there whole. What can be no header is found out before it piles up."""
+        end = self.held.find(b"\r\n\r\n", max(0, self.searched - 3))
         if end < 0:
-            if len(self.held) > MAX_HEADER:
+            self.searched = len(self.held)
+            while (line := self.held.find(b"\r\n", self.checked)) >= 0:
+                self.name(self.held[self.checked : line])
+                self.checked = line + 2
+            if b":" not in self.held[self.checked : self.checked + MAX_NAME] and len(self.held) - self.checked >= MAX_NAME:
                 raise Broken(f"archive {self.archive}: headers without an end")
             return None
         out = bytes(self.held[:end])
         del self.held[: end + 4]
+        self.searched = self.checked = 0
         return out
 
+    def name(self, line: bytes) -> None:
+        if not line.startswith((b"WARC/", b"HTTP/")) and b":" not in line[:MAX_NAME]:
+            raise Broken(f"archive {self.archive}: a header's line without a name")
+
     @staticmethod
     def fields(head: bytes) -> dict[str, str]:
         lines = head.decode("utf-8", "replace").split("\r\n")[1:]
