@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Types and openings that name a vessel.
+# Types, and openings and endings of names, that name a vessel.
 VESSEL_TYPES = ["vessel", "ship", "navire", "bateau", "boat", "tanker", "barge", "tug", "tugboat", "yacht", "schiff", "buque", "navio", "nave", "schip", "vaartuig"]
-VESSEL_OPENING = r"(?i)^(?:(?:m/v|m/t|m/s|m/y|s/y|f/v|r/v|t/b|lpg/c|lng/c|b/m|n/m)\b\.?\s*\S|motor\s+(?:vessel|tanker|ship|yacht)\s+\S)"
+VESSEL_MARK = r"(?i)^(?:m/v|m/t|m/s|m/y|s/y|f/v|r/v|t/b|lpg/c|lng/c|b/m|n/m|r/m|t/h|t/kh)\b\.?\s*\S|^motor\s+(?:vessel|tanker|ship|yacht)\s+\S|\((?:vessel|tanker|barge|tug|ship)\)\s*$"
 
 
 def imo_valid(imo: Column) -> Column:
@@ -17,13 +17,15 @@ def imo_valid(imo: Column) -> Column:
 
 
 def read_imo(text: Column) -> Column:
-    """The seven digits of a ship number, with or without its letters; null if there are others."""
-    found = F.regexp_extract(F.trim(text), r"^(?i:IMO)?[\s:.#-]*(\d{7})$", 1)
+    """The seven digits of a ship number, with or without its letters; null if it reads otherwise."""
+    found = F.regexp_extract(F.trim(text), r"^(?i:imo\s*)?(\d{7})$", 1)
     return F.when(found != "", found)
 
 
 def is_vessel(name: Column, kind: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(kind)).isin(VESSEL_TYPES), F.lit(False)) | F.rlike(F.trim(name), F.lit(VESSEL_OPENING))
+    """Whether the type or a mark in the name says so; a null says nothing."""
+    said = F.lower(F.trim(kind)).isin(VESSEL_TYPES) | F.rlike(F.trim(name), F.lit(VESSEL_MARK))
+    return F.coalesce(said, F.lower(F.trim(kind)).isin(VESSEL_TYPES), F.rlike(F.trim(name), F.lit(VESSEL_MARK)), F.lit(False))
 
 
 def word_key(name: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Files: strict CSV with an account of every odd row, sealed JSON records, list readers to one entry schema."""
+"""Files: strict CSV with an account of every odd row, sealed JSON records."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import io
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import read_imo
@@ -85,51 +85,3 @@ def sealed(record: dict) -> dict:
 
 def intact(record: dict) -> bool:
     return record.get("seal") == seal(record)
-
-
-def joined(*cols: str) -> Column:
-    return F.trim(F.regexp_replace(F.concat_ws(" ", *cols), r"\s+", " "))
-
-
-OFAC = "uid string, firstName string, lastName string, sdnType string, programList struct<program:array<string>>, akaList struct<aka:array<struct<category:string,firstName:string,lastName:string>>>, idList struct<id:array<struct<idType:string,idNumber:string>>>"
-UN = "DATAID string, FIRST_NAME string, SECOND_NAME string, THIRD_NAME string, FOURTH_NAME string, UN_LIST_TYPE string, LISTED_ON string, {kind}_ALIAS array<struct<QUALITY:string,ALIAS_NAME:string>>"
-
-
-def read_ofac(spark: SparkSession, path: str, source: str = "OFAC") -> DataFrame:
-    """Entries of the US Treasury's XML lists."""
-    df = spark.read.format("xml").option("rowTag", "sdnEntry").schema(OFAC).load(path)
-    aka = F.coalesce("akaList.aka", F.array().cast("array<struct<category:string,firstName:string,lastName:string>>"))
-    said = lambda weak: F.transform(F.filter(aka, lambda x: (F.lower(F.coalesce(x["category"], F.lit(""))) == "weak") == F.lit(weak)), lambda x: F.concat_ws(" ", x["firstName"], x["lastName"]))
-    ids = F.filter(F.coalesce("idList.id", F.array().cast("array<struct<idType:string,idNumber:string>>")), lambda x: x["idNumber"].contains("IMO"))
-    number = F.transform(ids, lambda x: F.regexp_extract(x["idNumber"], r"(\d{7})", 1))
-    kind = F.when(F.lower("sdnType") == "individual", "person").when(F.lower("sdnType") == "entity", "entity").when(F.lower("sdnType") == "vessel", "vessel").otherwise("other")
-    return df.select(
-        F.lit(source).alias("source"), F.col("uid").alias("id"), joined("firstName", "lastName").alias("name"), said(False).alias("alias"), said(True).alias("weak"), kind.alias("type"),
-        F.array_join("programList.program", "+").alias("programme"), F.get(number, 0).alias("imo"), F.slice(number, 2, 100).alias("other_imo"),
-    )
-
-
-def read_un(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of the United Nations' XML list: persons and entities."""
-    parts = []
-    for kind, type_ in (("INDIVIDUAL", "person"), ("ENTITY", "entity")):
-        df = spark.read.format("xml").option("rowTag", kind).schema(UN.format(kind=kind)).load(path)
-        alias = F.filter(F.transform(F.coalesce(f"{kind}_ALIAS", F.array().cast("array<struct<QUALITY:string,ALIAS_NAME:string>>")), lambda x: F.trim(x["ALIAS_NAME"])), lambda x: F.coalesce(x != "", F.lit(False)))
-        parts.append(df.select(F.lit("UN").alias("source"), F.col("DATAID").alias("id"), joined("FIRST_NAME", "SECOND_NAME", "THIRD_NAME", "FOURTH_NAME").alias("name"), alias.alias("alias"), F.array().cast("array<string>").alias("weak"), F.lit(type_).alias("type"), F.col("UN_LIST_TYPE").alias("programme"), F.lit(None).cast("string").alias("imo"), F.array().cast("array<string>").alias("other_imo")))
-    return parts[0].unionByName(parts[1])
-
-
-def read_csl(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of the US consolidated CSV that aren't the Treasury's."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    alias = F.filter(F.transform(F.split(F.coalesce("alt_names", F.lit("")), ";"), F.trim), lambda x: x != "")
-    kind = F.when(F.lower("type") == "individual", "person").when(F.lower("type").isin("entity", "vessel"), F.lower("type")).otherwise("other")
-    none = F.array().cast("array<string>")
-    rows = df.where(~F.col("source").contains("Treasury") & (F.trim(F.coalesce("name", F.lit(""))) != ""))
-    return rows.select(F.lit("CSL").alias("source"), F.col("_id").alias("id"), F.trim("name").alias("name"), alias.alias("alias"), none.alias("weak"), kind.alias("type"), F.coalesce("programs", "source").alias("programme"), F.lit(None).cast("string").alias("imo"), none.alias("other_imo"))
-
-
-def checked_entries(entries: DataFrame) -> DataFrame:
-    if not entries.limit(1).count():
-        raise ValueError("the list has no entries")
-    return entries

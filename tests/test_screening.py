@@ -7,7 +7,7 @@ from sievewright import queries
 from sievewright.functions import keys, text
 from sievewright.functions.intervals import distinguishable, sign_test, wilson, wilson_columns, z_for
 from sievewright.operators import matchers, measure, screen, synthetic
-from sievewright.sources import records
+from sievewright.sources import lists, records
 
 
 def test_normalise_and_prepare():
@@ -119,10 +119,10 @@ def test_screening_and_changes(spark):
 
 def test_list_readers(spark, tmp_path):
     (tmp_path / "o.xml").write_text('<l><sdnEntry><uid>7</uid><lastName>SHIP</lastName><sdnType>Vessel</sdnType><programList><program>A</program><program>B</program></programList><akaList><aka><category>weak</category><lastName>S</lastName></aka></akaList><idList><id><idType>Vessel Registration Identification</idType><idNumber>IMO 9074729</idNumber></id></idList></sdnEntry></l>')
-    r = records.read_ofac(spark, str(tmp_path / "o.xml")).first()
+    r = lists.read_ofac(spark, str(tmp_path / "o.xml")).first()
     assert (r.id, r.name, r.weak, r.type, r.programme, r.imo) == ("7", "SHIP", ["S"], "vessel", "A+B", "9074729")
     (tmp_path / "u.xml").write_text("<l><INDIVIDUAL><DATAID>1</DATAID><FIRST_NAME>A</FIRST_NAME><SECOND_NAME>B</SECOND_NAME><INDIVIDUAL_ALIAS><ALIAS_NAME>C</ALIAS_NAME></INDIVIDUAL_ALIAS></INDIVIDUAL><ENTITY><DATAID>2</DATAID><FIRST_NAME>D</FIRST_NAME></ENTITY></l>")
-    assert {(r.id, r.name, tuple(r.alias), r.type) for r in records.read_un(spark, str(tmp_path / "u.xml")).collect()} == {("1", "A B", ("C",), "person"), ("2", "D", (), "entity")}
+    assert {(r.id, r.name, tuple(r.alias), r.type) for r in lists.read_un(spark, str(tmp_path / "u.xml")).collect()} == {("1", "A B", ("C",), "person"), ("2", "D", (), "entity")}
 
 
 def test_weights(spark):
