@@ -1,13 +1,15 @@
 import math
+import random
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from sievewright import queries
-from sievewright.functions import keys, text
+from sievewright.functions import entity, keys, text
 from sievewright.functions.intervals import distinguishable, sign_test, wilson, wilson_columns, z_for
 from sievewright.operators import matchers, measure, screen, synthetic
-from sievewright.sources import lists, records
+from sievewright.sources import lists, records, reports
 
 
 def test_normalise_and_prepare():
@@ -106,7 +108,7 @@ ENTRIES = [
 
 def test_screening_and_changes(spark):
     entries = spark.createDataFrame(ENTRIES, screen.ENTRY)
-    parties = spark.createDataFrame([(1, "Acme Trading Compny", "r1", None, None), (2, "Renamed Ship", "r2", "9074729", "vessel"), (3, "Nothing Alike", "r3", None, None), (4, "Ocean Star", "r4", "9999999", "vessel")], "line long, name string, ref string, imo string, type string")
+    parties = spark.createDataFrame([(1, "Acme Tradng Company", "r1", None, None), (2, "Renamed Ship", "r2", "9074729", "vessel"), (3, "Nothing Alike", "r3", None, None), (4, "Ocean Star", "r4", "9999999", "vessel")], "line long, name string, ref string, imo string, type string")
     got = {r.line: r for r in screen.screen(parties, entries).collect()}
     assert got[1].status == "strong" and got[1].candidates[0].ids == ["1"]
     assert got[2].status == "strong" and got[2].candidates[0].by == "imo"
@@ -117,6 +119,91 @@ def test_screening_and_changes(spark):
     assert {(r.change, r.key) for r in screen.changes(screen.screen(parties, entries), after).collect()} == {("candidate gone", "ref:r1"), ("party removed", "ref:r3")}
 
 
+@pytest.mark.parametrize(
+    "a,b",
+    [
+        ("Orion Maritime Ltd", "Orion Maritime Limited"), ("OOO Kamaflot", "Kamaflot OOO"), ("Lindqvar Hydraulik GmbH", "Lindqvar Hydraulik Gesellschaft mit beschränkter Haftung"), ("Établissements Garnavel et Compagnie", "Ets Garnavel & Cie"),
+        ("Compañía Minera Hualla S.A.C.", "Cía. Minera Hualla SAC"), ("SHIRATSUNE MARU NO18", "Shiratsune Maru No. 18"), ("Camlibelen Dokum San. ve Tic. Ltd. Sti.", "Çamlıbelen Döküm Sanayi ve Ticaret Limited Şirketi"), ("M/V Golden Crane", "Golden Crane"),
+    ],
+)
+def test_two_spellings_are_prepared_alike(a, b):
+    assert entity.parts(a).words == entity.parts(b).words
+
+
+def test_entity_preparation():
+    words = lambda n: " ".join(entity.parts(n).words)
+    assert words("Company Limited") == "company limited" and words("Ag. Prokopis II") == "ag prokopis 2" and words("Prokopis Trading AG") == "prokopis trading" and words("") == ""
+    apart = lambda a, b: entity.parts(a).conflicts(entity.parts(b))
+    assert apart("Wexmoor GmbH", "Wexmoor Inc.") and apart("MV Orlessa Dawn", "Orlessa Dawn Shipping Ltd") and not apart("Kamaflot OOO", "Kamaflot LLC") and not apart("A Pte. Ltd.", "A Private Limited")
+
+
+def test_entity_score_by_hand():
+    score = lambda a, b, u=None, v=None, **k: screen.entity_score(a.split(), b.split(), u or [1.0] * len(a.split()), v or [1.0] * len(b.split()), **k)
+    assert score("hong da 1", "hong da 8") == 0 and score("karina 2", "karina 2") == 1 and score("ocean pearl", "ocean pearl 2") == pytest.approx(0.8)
+    assert score("quarrington metals", "quarrington metals jebel zone dubai") == pytest.approx(0.8)  # contained
+    assert score("petro link", "petrolink") == 1 and score("northwick logistics", "northwick engineering") < 0.6
+    assert score("", "a") == 0 and score("acme", "acme", doubt=True) == pytest.approx(0.8)
+    assert score("golden crane shipping", "golden crane", [1, 1, 5], [1, 1]) == pytest.approx(0.8)  # what is rare is left over
+    assert score("alpha kestrel", "alpha ketsrel") > 0.85 and screen.typing_error("amber", "amebr") and screen.typing_error("amber", "ambr") and not screen.typing_error("amber", "ambar")
+
+
+def test_candidates_lose_nothing(spark):
+    """Perturbed names against a list: joins on keys find what comparing everything finds, from few pairs."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 8)))
+    common = ["trading", "shipping", "holdings", "global", "marine"]
+    listed = [" ".join([*(word() for _ in range(rng.randrange(1, 4))), *rng.sample(common, rng.randrange(3))]) for _ in range(150)] + common[:2]
+
+    def worse(name):
+        letters = list(name)
+        for _ in range(rng.randrange(1, 4)):
+            k = rng.randrange(len(letters))
+            how = rng.randrange(5)
+            letters[k : k + 2] = {0: letters[k : k + 2][::-1], 1: letters[k + 1 : k + 2], 2: [rng.choice("aeiou"), *letters[k : k + 2]], 3: [rng.choice("bst"), *letters[k + 1 : k + 2]], 4: letters[k : k + 2] + [" "]}[how]
+            if not "".join(letters).strip():
+                return name
+        return "".join(letters)
+
+    sent = [worse(rng.choice(listed)) for _ in range(200)] + [f"{rng.choice(listed)} {rng.choice(common)} ltd" for _ in range(20)]
+    entries = spark.createDataFrame([("L", str(k), n, [], [], "entity", "P", None, []) for k, n in enumerate(listed)], screen.ENTRY)
+    parties = spark.createDataFrame([(k, n, None, None, None) for k, n in enumerate(sent)], "line long, name string, ref string, imo string, type string")
+    fast, all_ = ({r.line: r for r in screen.screen(parties, entries, exhaustive=x).collect()} for x in (False, True))
+    assert fast == all_ and sum(r.status != "no-match" for r in fast.values()) > 120
+    a, b = screen.texts(parties, "name"), screen.texts(entries, "name")
+    often = b.select(F.explode(F.split("text", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    assert screen.candidates(screen.weighed(a, often, 150), screen.weighed(b, often, 150)).count() < 0.1 * len(sent) * len(listed)
+
+
+def test_reports(spark, tmp_path):
+    rows = [("OFAC", "1", "=Ocean Star", ["Star O"], [], "vessel", "P", "9074729", [], None, None, [("vesselOwner", "Big Co")]), ("L", "2", "Globex, Industries", [], ["Globex"], "entity", None, None, [], "2020-01-02", "start_date", [])]
+    entries = spark.createDataFrame(rows, f"{screen.ENTRY}, {screen.MORE}")
+    parties = spark.createDataFrame([(1, "New Name", "r|1", "9074729", None), (2, "Globex Industries", None, None, None), (3, "M/V Nobody", None, None, None), (4, "Globex", None, None, None)], "line long, name string, ref string, imo string, type string")
+    got = screen.screen(parties, entries)
+    reports.write_csv(got, str(tmp_path / "csv"), {"L": "free"})
+    text = "".join(sorted((f.read_text() for f in (tmp_path / "csv").glob("part-*")), key=lambda t: "New Name" not in t))
+    t = records.read_table(text)
+    assert tuple(t.header) == reports.COLUMNS
+    by = {r[1]: dict(zip(t.header, r, strict=True)) for r in t.rows if r[1] != "name"}
+    one, two, three, four = by["New Name"], by["Globex Industries"], by["M/V Nobody"], by["Globex"]
+    assert (one["listed_name"], one["matched_on"], one["score"], one["renamed_ship_listed_names"], one["named_parties"], one["designated_on"]) == ("'=Ocean Star", "imo", "1.000", "'=Ocean Star | Star O", "vesselOwner: Big Co", "not published by OFAC")
+    assert (two["level"], two["designated_on"], two["list_licence"], two["list_ids"]) == ("strong", "2020-01-02", "free", "2")
+    assert (three["level"], three["vessel_without_imo"], three["list_source"]) == ("no-match", "yes", "") and (four["level"], four["weak_alias"], four["via_alias"], four["score"]) == ("possible", "yes", "Globex", "0.800")
+    record = reports.record(got, ["L", "OFAC"], date(2026, 1, 2))
+    shown = reports.markdown(record)
+    assert record["names"] == 4 and "## New Name (r\\|1)" in shown and "| Globex, Industries | L  | 2 | 1.000 | name |" in shown
+    with pytest.raises(ValueError):
+        reports.markdown(record | {"names": 5})
+    assert reports.volume(spark, "id,screened_name\n1,a\n2,b\n") == 2
+    with pytest.raises(ValueError):
+        reports.volume(spark, "id\n1\n")
+
+
+def test_vessel_marks(spark):
+    rows = [("R/M Bull", None, True), ("T/KH Volga", None, True), ("Blue Whale (tug)", None, True), ("MV Agusta", None, False), ("Barge Transport Services", None, False), ("x", " Tanker ", True), (None, None, False), (None, "vessel", True), ("Mt. Everest Trading", "company", False)]
+    df = spark.createDataFrame(rows, "name string, type string, want boolean")
+    assert df.where(keys.is_vessel(F.col("name"), F.col("type")) != F.col("want")).count() == 0 and df.where(keys.is_vessel(F.col("name"), F.col("type")).isNull()).count() == 0
+
+
 def test_list_readers(spark, tmp_path):
     (tmp_path / "o.xml").write_text('<l><sdnEntry><uid>7</uid><lastName>SHIP</lastName><sdnType>Vessel</sdnType><programList><program>A</program><program>B</program></programList><akaList><aka><category>weak</category><lastName>S</lastName></aka></akaList><idList><id><idType>Vessel Registration Identification</idType><idNumber>IMO 9074729</idNumber></id></idList></sdnEntry></l>')
     r = lists.read_ofac(spark, str(tmp_path / "o.xml")).first()
