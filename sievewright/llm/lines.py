@@ -20,7 +20,7 @@ MIN_WORDS = 1
 #: Index entries that may share a key before the key is salted.
 GROUP = 50_000
 #: Keys by which a line meets a leader at most.
-LEADS = 6
+LEADS = 16
 #: Bytes of the bit set that keeps lines without a candidate out of a shuffle. A corpus with more candidates than it
 #: tells apart shuffles more lines; the exact join that follows decides.
 FILTER = 1 << 18
@@ -103,9 +103,9 @@ def ranked_lines(lines: DataFrame, threshold: float, min_words: int) -> DataFram
         .select("x", "y", "doc_id", "no", F.size("s").alias("n"), "s")
         .select("x", "y", "doc_id", "no", "n", *parity(F.col("s")), F.slice("s", 1, n - least_overlap(n, threshold) + 2).alias("p"))
         .groupBy("x", "y")
-        .agg(F.min(F.struct("doc_id", "no")).alias("f"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("more_bits").alias("more_bits"), F.first("p").alias("p"))
+        .agg(F.min(F.struct("doc_id", "no")).alias("f"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("more_bits").alias("more_bits"), F.first("p").alias("p"), F.count("*").alias("copies"))
         .where(n >= min_words)  # here, as a filter before the grouping would rank every line's words twice
-        .select("x", F.col("f.doc_id").alias("doc_id"), F.col("f.no").alias("no"), "n", "bits", "more_bits", "p")
+        .select("x", F.col("f.doc_id").alias("doc_id"), F.col("f.no").alias("no"), "n", "bits", "more_bits", "p", "copies")
     )
 
 
@@ -193,15 +193,19 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
 
 
 def leaders(once: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (x, o): of the lines that share two neighbouring words of their prefixes each against the earliest, where
-    the filters let it. So copies that differ a little cost a few comparisons each, however many there are. It need
-    not find all: what it misses, the prefix join finds."""
+    """Pairs (x, o): of the lines that share two neighbouring words of their prefixes each against the earliest, the
+    one before, and of the earlier ones that with the most copies, where the filters let it. So copies that differ a
+    little cost a few comparisons each, however many there are. It need not find all: what it misses, the prefix join
+    finds."""
     u, v = F.element_at("p", F.col("k")), F.element_at("p", F.least(F.col("k") + 1, F.size("p")))
     keys = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(LEADS), F.size("p") - 1)))).alias("k")
-    own = ["x", "doc_id", "no", "n", "bits", "more_bits"]
+    own = ["x", "doc_id", "no", "n", "bits", "more_bits", "copies"]
     found = once.select(*own, "p", keys).select(*own, F.xxhash64(u, v).alias("t"), salt(salts(u)).alias("salt"), F.lit(1).alias("i"))
-    lead = F.first(F.struct("x", "n", "i", "bits", "more_bits")).over(Window.partitionBy("t", "salt").orderBy("doc_id", "no", "x")).alias("lead")
-    return found.select("*", lead).where((F.col("lead.x") != F.col("x")) & promising("", "lead.", threshold, True)).select("x", F.col("lead.x").alias("o")).distinct()
+    line, w = F.struct("x", "n", "i", "bits", "more_bits"), Window.partitionBy("t", "salt").orderBy("doc_id", "no", "x")
+    chosen = {"first": F.first(line).over(w), "before": F.lag(line).over(w), "most": F.max(F.struct("copies", line.alias("line"))).over(w)["line"]}
+    found = found.withColumns(chosen)
+    held = [F.when((F.col(f"{c}.x") != F.col("x")) & promising("", f"{c}.", threshold, True), F.col(f"{c}.x")) for c in chosen]
+    return found.select("x", F.explode(F.array_compact(F.array_distinct(F.array(*held)))).alias("o")).distinct()
 
 
 def dead_lines(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
