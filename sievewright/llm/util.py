@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: Places of the tables that this process has cut and not removed, oldest first.
+cuts: list[str] = []
+
+
 def cut(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write df as a Parquet table in the shared folder and read it back: the plan starts anew there."""
     spark, place = df.sparkSession, f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    cuts.append(place)
     df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place), place
 
@@ -42,6 +48,20 @@ def cut(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
 def remove(spark: SparkSession, place: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if place in cuts:
+        cuts.remove(place)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes the tables cut within it but for those whose places are put into the list that it gives. A result that
+    reads them has to be written before it ends."""
+    before, keep = set(cuts), []
+    try:
+        yield keep
+    finally:
+        for place in [p for p in cuts if p not in before and p not in keep]:
+            remove(spark, place)
 
 
 def release(spark: SparkSession) -> None:
