@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm import lines, packing, secrets, shingles, toxicity
-from sievewright.llm.util import cut, table
+from sievewright.llm.util import cut, remove, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,13 +20,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by the shingles of five words and similarity 0.8 (whose SimHash
-    fingerprints differ in too many bits to be found by blocks): that with the smallest doc_id. Of rows that repeat it one stays;
-    rows without a doc_id stay."""
-    kept = shingles.near_duplicates(docs).where("kept or doc_id is null").select("doc_id").distinct()
-    rest = docs.where("doc_id is null")
-    once = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(rest)
+    """One document of each group of near-duplicates, by the shingles of five words and similarity 0.8: that with the
+    smallest doc_id, those without one last. Rows that share a doc_id stay if their texts are no near-duplicates; of
+    rows that repeat doc_id and text one stays. Candidates come from the bit-sliced comparison of SimHash fingerprints,
+    and from MinHash bands, as fingerprints of texts of that similarity differ in up to 14 bits."""
+    kept = shingles.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("h").alias("hash")).distinct()
+    columns = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.toDF(*columns.values()).withColumns({"doc": F.col(columns["doc_id"]).cast("long"), "h": F.xxhash64(F.col(columns["text"]).cast("string"))})
+    once = rows.join(kept, F.col("h").eqNullSafe(F.col("hash")) & F.col("doc").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["doc", "h"])
+    return once.select(*columns.values()).toDF(*columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages, each over what the one before has written. What a stage and its predecessor wrote is removed as soon
+    as its own result is there; the last stage's tables stay until its caller has read them."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = cut(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            docs, place = cut(stage(spark, docs, sf_dir), name)
+            keep.append(place)
+        if last:
+            remove(spark, last)
+        last = place
     return STAGES[-1][1](spark, docs, sf_dir)
