@@ -28,11 +28,6 @@ def is_vessel(name: Column, kind: Column) -> Column:
     return F.coalesce(said, F.lower(F.trim(kind)).isin(VESSEL_TYPES), F.rlike(F.trim(name), F.lit(VESSEL_MARK)), F.lit(False))
 
 
-def word_key(name: Column) -> Column:
-    """A prepared name's words in order of the alphabet."""
-    return F.array_join(F.array_sort(F.split(name, " ")), " ")
-
-
 def trigrams(name: Column) -> Column:
     s = F.concat(F.lit(" "), name, F.lit(" "))
     return F.transform(F.sequence(F.lit(1), F.char_length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))

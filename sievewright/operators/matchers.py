@@ -141,7 +141,3 @@ def long(scores: DataFrame, keep: list[str], registry: dict[str, Matcher] | None
     """One row per pair and matcher: the columns in `keep`, tier, rank, score."""
     parts = [F.struct(F.lit(m.id).alias("tier"), F.lit(m.rank).alias("rank"), F.col(f"`{m.id}`").alias("score")) for m in (registry or REGISTRY).values()]
     return scores.select(*keep, F.explode(F.array(*parts)).alias("s")).select(*keep, "s.*")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -15,11 +15,6 @@ OPTIONAL = ("engine_score", "decided_at")
 MINUTES_PER_ALERT, ANALYST_COST, HOURS_PER_DAY, DAYS_PER_YEAR = 5, 62_000, 6, 220
 
 
-def thresholds(df: DataFrame) -> DataFrame:
-    """0.50 to 1.00 in steps of 0.01, as doubles."""
-    return df.sparkSession.range(50, 101).select((F.col("id") / F.lit(100.0)).alias("threshold"))
-
-
 def threshold_grid(scores: DataFrame, verdict: str = "verdict", match: str = "match", volume: int | None = None) -> DataFrame:
     """From long scores (tier, rank, score, verdict): per tier and threshold what fires, recall and false alerts.
 
@@ -59,20 +54,36 @@ def best_under_budget(cells: DataFrame, per_month: float, days: int) -> DataFram
 
 
 def strongest_bound(cells: DataFrame) -> DataFrame:
+    """The best lower bound of recall that any cell holds: what a floor can ask for at most."""
     return cells.where(F.col("recall_n") >= MIN_MATCHES).agg(F.max("recall_low").alias("recall_low"))
 
 
 def analyst_hours(alerts: float) -> tuple[float, float]:
+    """Hours that so many alerts take, and what they cost."""
     hours = alerts * MINUTES_PER_ALERT / 60
     return hours, hours * ANALYST_COST / (DAYS_PER_YEAR * HOURS_PER_DAY)
 
 
-def choose_thresholds(cells: DataFrame, possible_from: float = 0.80, false_high: float = 0.05) -> DataFrame:
-    """possible: the first threshold from `possible_from`; strong: the lowest above it whose upper bound of false
-    alerts is at most `false_high`, else the highest there is."""
-    possible = F.min(F.when(F.col("threshold") >= possible_from, F.col("threshold"))).alias("possible")
-    strong = F.coalesce(F.min(F.when((F.col("threshold") > possible_from) & (F.col("false_alert_high") <= false_high), F.col("threshold"))), F.max("threshold")).alias("strong")
-    return cells.groupBy("tier").agg(possible, strong)
+# The lowest level that is shown, the most false alerts of the strong level on written and on real pairs
+# (upper bounds), and the recall that the lowest level is to hold (lower bound).
+POSSIBLE, WRITTEN_MAX, REAL_MAX, RECALL_MIN = 0.80, 0.05, 0.01, 0.90
+
+
+def choose_thresholds(written: DataFrame, real: DataFrame, possible: float = POSSIBLE, written_max: float = WRITTEN_MAX, real_max: float = REAL_MAX, recall_min: float = RECALL_MIN) -> DataFrame:
+    """tier, possible, strong, holds_recall from the cells of written pairs and of real neighbours, on one grid.
+
+    possible: the first threshold from `possible` on, else the last there is; strong: the lowest above it whose upper
+    bounds of false alerts hold on both tables, else the last there is."""
+    near = F.col("false_alert_high").alias("real_high")
+    cells = written.join(real.select("tier", "threshold", near), ["tier", "threshold"], "full_outer")
+    if cells.where("real_high is null or false_alert_high is null").limit(1).count():
+        raise ValueError("the two tables don't share one grid of thresholds")
+    last = F.max("threshold")
+    levels = cells.groupBy("tier").agg(F.coalesce(F.min(F.when(F.col("threshold") >= possible - 1e-9, F.col("threshold"))), last).alias("possible"), last.alias("last"))
+    good = (F.col("threshold") > F.col("possible")) & (F.col("false_alert_high") <= written_max) & (F.col("real_high") <= real_max)
+    both = cells.join(levels, "tier")
+    recall = F.max(F.when(F.col("threshold") == F.col("possible"), F.col("recall_low")))
+    return both.groupBy("tier").agg(F.max("possible").alias("possible"), F.coalesce(F.min(F.when(good, F.col("threshold"))), F.max("last")).alias("strong"), (recall >= recall_min).alias("holds_recall"))
 
 
 def period(times: DataFrame, column: str) -> DataFrame:

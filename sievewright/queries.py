@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -131,20 +131,88 @@ def synthetic_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.synthetic(part_names(spark, sf_dir), "name")
 
 
+def check_digit(number: Column) -> Column:
+    """Six digits with the seventh that makes them a ship number."""
+    return F.concat(number, (sum(F.substring(number, k, 1).cast("int") * (8 - k) for k in range(1, 7)) % 10).cast("string"))
+
+
+def ships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers as a list of ships, each with a number; every third has an alias, every fourth a weak one."""
+    key, none = F.col("s_suppkey"), F.array().cast("array<string>")
+    number = check_digit(F.lpad((key * 7919 % 1_000_000).cast("string"), 6, "0"))
+    alias = lambda k, text: F.when(key % k == 0, F.array(F.concat(F.lit(text), key.cast("string")))).otherwise(none)
+    return table(spark, sf_dir, "supplier").select(
+        F.lit("S").alias("source"), key.cast("string").alias("id"), F.col("s_name").alias("name"), alias(3, "Alias Ship ").alias("alias"), alias(4, "Weak Ship ").alias("weak"),
+        F.lit("vessel").alias("type"), F.concat(F.lit("P"), (F.col("s_nationkey") % 5).cast("string")).alias("programme"), number.alias("imo"), none.alias("other_imo"),
+    )
+
+
+def party(line: Column, name: Column, ref: Column, imo: Column, kind: Column) -> list[Column]:
+    return [line.alias("line"), name.alias("name"), ref.alias("ref"), imo.alias("imo"), kind.alias("type")]
+
+
 def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The suppliers' names and part names' variants against a list made of the part names."""
-    none = F.array().cast("array<string>")
-    listed = part_names(spark, sf_dir).select(F.lit("L").alias("source"), F.md5("name").alias("id"), "name", none.alias("alias"), none.alias("weak"), F.lit("entity").alias("type"), F.lit(None).cast("string").alias("programme"), F.lit(None).cast("string").alias("imo"), none.alias("other_imo"))
-    sent = synthetic_variants(spark, sf_dir).select(F.col("variant").alias("name")).distinct()
-    null = F.lit(None).cast("string")
-    return screen.screen(sent.select(F.xxhash64("name").alias("line"), "name", null.alias("ref"), null.alias("imo"), null.alias("type")), listed)
+    """Part names' variants, the suppliers' names with another ship's number, and their weak aliases, against a list made
+    of the part names and of the suppliers as ships."""
+    none, null = F.array().cast("array<string>"), F.lit(None).cast("string")
+    listed = part_names(spark, sf_dir).select(F.lit("L").alias("source"), F.md5("name").alias("id"), "name", none.alias("alias"), none.alias("weak"), F.lit("entity").alias("type"), null.alias("programme"), null.alias("imo"), none.alias("other_imo"))
+    fleet = ships(spark, sf_dir)
+    variants = synthetic_variants(spark, sf_dir).select(F.col("variant").alias("name")).distinct()
+    sent = variants.select(*party(F.xxhash64("name"), F.col("name"), null, null, null))
+    other = fleet.select(*party(F.xxhash64(F.lit("imo"), "id"), F.col("name"), F.concat(F.lit("s"), "id"), F.when(F.col("id").cast("long") % 2 == 0, F.col("imo")).otherwise("1234567"), F.lit("vessel")))
+    weak = fleet.where(F.size("weak") > 0).select(*party(F.xxhash64(F.lit("weak"), "id"), F.col("weak")[0], null, null, null))
+    return screen.screen(sent.unionByName(other).unionByName(weak), listed.unionByName(fleet))
+
+
+def screened_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ships under other names, found by their numbers: line, status, what the list names them, and the names that the
+    list knows and the ship no longer bears."""
+    fleet = ships(spark, sf_dir)
+    sent = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("line"), F.md5(F.col("c_custkey").cast("string")).alias("name"), ((F.col("c_custkey") * 13) % 400).cast("string").alias("id"))
+    sent = sent.join(fleet.select("id", "imo"), "id", "left")
+    none = F.lit(None).cast("string")
+    got = screen.screen(sent.select(*party(F.col("line"), F.col("name"), none, F.col("imo"), none)), fleet)
+    one = F.get("candidates", F.lit(0))
+    return got.select("line", "status", F.coalesce(F.size("candidates"), F.lit(0)).alias("n"), one["listed_name"].alias("listed_name"), one["list"].alias("list"), one["by"].alias("by"), F.array_join(one["renamed"], "|").alias("renamed"), "vessel_without_imo")
+
+
+def grown_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that grow with the tables: two to four words of each document."""
+    words = F.split(latin_normalise(F.substring("text", 1, 400)), " ")
+    some = F.slice(words, (1 + F.col("doc_id") % 7).cast("int"), (2 + F.col("doc_id") % 3).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(some, " ").alias("name")).where("name <> ''")
+
+
+def screening_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A book of names with a letter lost or exchanged, every tenth document's, against all documents' names."""
+    none, null = F.array().cast("array<string>"), F.lit(None).cast("string")
+    names = grown_names(spark, sf_dir)
+    listed = names.groupBy("name").agg(F.min("doc_id").cast("string").alias("id")).select(F.lit("D").alias("source"), "id", "name", none.alias("alias"), none.alias("weak"), F.lit("entity").alias("type"), null.alias("programme"), null.alias("imo"), none.alias("other_imo"))
+    at = (2 + F.col("doc_id") % 5).cast("int")
+    wrong = F.concat(F.substring("name", F.lit(1), at), F.substring("name", at + 2, F.lit(400)))
+    sent = names.where("doc_id % 10 = 3").select(*party(F.col("doc_id"), wrong, null, null, null))
+    return screen.screen(sent, listed)
+
+
+def chosen_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two levels that the grid's false alerts allow, on the labelled documents as either table."""
+    cells = threshold_grid(spark, sf_dir)
+    return measure.choose_thresholds(cells, cells, possible=0.6, written_max=0.9, real_max=0.9, recall_min=0.2)
+
+
+def vessel_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers under names with and without a mark of a vessel, and with types that say so."""
+    key = F.col("c_custkey")
+    name = F.when(key % 5 == 0, F.concat(F.lit("M/V "), "c_name")).when(key % 5 == 1, F.concat("c_name", F.lit(" (tug)"))).when(key % 5 == 2, F.concat(F.lit("MV"), "c_name")).otherwise(F.col("c_name"))
+    kind = F.when(key % 7 == 0, " Tanker ").when(key % 7 == 1, "company")
+    return table(spark, sf_dir, "customer").select("c_custkey", keys.is_vessel(name, kind).alias("vessel"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalise": normalised, "word_weights": word_weights, "trigram_cosine": trigram_pairs, "top_five": top_five, "threshold_grid": threshold_grid,
     "best_under_recall": best_under_recall, "best_under_budget": best_under_budget, "alert_period": alert_period, "duplicate_pairs": duplicate_pairs,
     "wilson_rates": event_rates, "imo_check": ship_numbers, "nature_counts": nature_counts, "screening_changes": screening_changes,
-    "person_matchers": person_matchers, "matcher_grid": matcher_grid, "synthetic_variants": synthetic_variants, "screening": screened,
+    "screening_by_number": screened_by_number, "choose_thresholds": chosen_thresholds, "vessel_marks": vessel_marks, "person_matchers": person_matchers, "matcher_grid": matcher_grid, "synthetic_variants": synthetic_variants, "screening": screened, "screening_books": screening_books,
 }
 
 NORM = "trim(regexp_replace(strip_accents(lower(p_name)), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
@@ -208,4 +276,17 @@ SELECT 'new candidate' AS change, a.key, a.candidate FROM a JOIN b USING (key) W
 UNION ALL SELECT 'candidate gone', b.key, b.candidate FROM a JOIN b USING (key) WHERE a.candidate <> b.candidate
 UNION ALL SELECT 'party added', key, NULL FROM a WHERE key NOT IN (SELECT key FROM b)
 UNION ALL SELECT 'party removed', key, NULL FROM b WHERE key NOT IN (SELECT key FROM a)""",
+    "screening_by_number": """
+WITH n AS (SELECT s_suppkey AS k, s_name, 'P' || (s_nationkey % 5) AS list, lpad(CAST(s_suppkey * 7919 % 1000000 AS VARCHAR), 6, '0') AS d FROM supplier),
+ship AS (SELECT *, d || (list_sum(list_transform(range(1, 7), lambda i: CAST(substr(d, CAST(i AS INTEGER), 1) AS INTEGER) * (8 - i))) % 10) AS imo FROM n),
+sent AS (SELECT c_custkey AS line, s.imo FROM customer LEFT JOIN ship s ON s.k = c_custkey * 13 % 400),
+c AS (SELECT line, list, s_name, ship.imo, min(k) AS first FROM sent JOIN ship USING (imo) GROUP BY ALL)
+SELECT sent.line, CASE WHEN c.line IS NULL THEN 'no-match' ELSE 'strong' END AS status, CAST(c.line IS NOT NULL AS INTEGER) AS n, c.s_name AS listed_name, c.list,
+  CASE WHEN c.line IS NOT NULL THEN 'imo' END AS by, CASE WHEN c.line IS NOT NULL THEN c.s_name || CASE WHEN first % 3 = 0 THEN '|Alias Ship ' || first ELSE '' END END AS renamed, false AS vessel_without_imo
+FROM sent LEFT JOIN c ON c.line = sent.line""",
+    "choose_thresholds": f"""
+WITH {GRID}, p AS (SELECT tier, min(threshold) FILTER (threshold >= 0.6 - 1e-9) AS possible, max(threshold) AS last FROM grid GROUP BY tier)
+SELECT tier, possible, coalesce(min(threshold) FILTER (threshold > possible AND false_alert_high <= 0.9), last) AS strong, max(recall_low) FILTER (threshold = possible) >= 0.2 AS holds_recall
+FROM grid JOIN p USING (tier) GROUP BY tier, possible, last""",
+    "vessel_marks": "SELECT c_custkey, c_custkey % 5 IN (0, 1) OR c_custkey % 7 = 0 AS vessel FROM customer",
 }

@@ -224,3 +224,34 @@ def test_every_name_is_another_ones_neighbour(spark):
         got = queries.neighbours(spark.createDataFrame([(x,) for x in names], "name string"), most).collect()
         assert all(r.a != r.name for r in got)
         assert {r.name for r in got} == {r.a for r in got} == (names if n > 1 else set()) and len(got) == len(names) * (n > 1)
+
+
+def test_levels_from_two_tables(spark):
+    schema = "tier string, threshold double, recall_n long, recall_low double, false_alert_high double"
+    written = spark.createDataFrame([("m", t / 100, 100, 0.95 - t / 1000, 0.9 if t <= 80 else 0.04) for t in range(50, 101)], schema)
+    real = spark.createDataFrame([("m", t / 100, 100, 0.5, 0.02 if t < 90 else 0.005) for t in range(50, 101)], schema)
+    r = measure.choose_thresholds(written, real).first()
+    assert (r.possible, r.strong, r.holds_recall) == (0.8, 0.9, False)
+    never = measure.choose_thresholds(written, real.withColumn("false_alert_high", F.lit(0.5)), recall_min=0.8).first()
+    assert (never.strong, never.holds_recall) == (1.0, True)
+    with pytest.raises(ValueError):
+        measure.choose_thresholds(written, real.where("threshold <> 0.7"))
+    assert measure.strongest_bound(written).first()[0] == pytest.approx(0.9) and measure.analyst_hours(12)[0] == 1
+
+
+def test_labelled_pairs_are_checked(spark):
+    schema = "a string, b string, verdict string, nature string"
+    good = [(f"a{k}", f"b{k}", "match" if k < 40 else "different", "n") for k in range(80)]
+    assert measure.checked_pairs(spark.createDataFrame(good, schema)).count() == 80
+    for bad in (good[1:], [*good[1:], ("b1", "a1", "match", "n")], [*good, ("x", " ", "match", "n")], [*good, ("x", "y", "match", None)]):
+        with pytest.raises(ValueError):
+            measure.checked_pairs(spark.createDataFrame(bad, schema))
+
+
+def test_ships_of_the_screening_queries(spark):
+    """The number rule, entries set aside and weak aliases are met by the registered query."""
+    got = queries.screened(spark, "/root/testdata/sf0.001")
+    ships = got.where("ref like 's%'").collect()
+    assert ships and all((r.status == "strong" and r.candidates[0].by == "imo") if r.imo != "1234567" else r.set_aside for r in ships)
+    weak = got.where("name like 'Weak Ship%'").collect()
+    assert weak and all(r.status == "possible" and r.candidates[0].is_weak for r in weak)
