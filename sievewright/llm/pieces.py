@@ -79,9 +79,18 @@ class Codec:
     def forget(self) -> None:
         self.chunks: dict[str, tuple[int, ...]] = {}  # the first states of a chunk's parts
         self.children: dict[int, int] = {}  # state after a state's k-th candidate is skipped
-        self.states: list[tuple[str, tuple[int, ...], int]] = []  # part, ordinals of skipped candidates, those before
-        self.result: list[bytes] = []  # ids if nothing more is skipped
-        self.start, self.count, self.candidates = array("q"), array("q"), array("I", [0])
+        self.states: list[tuple[str, tuple[int, ...], int]] = [("", (), 0)]  # part, ordinals of skipped candidates, those before
+        self.result: list[bytes] = [b""]  # ids if nothing more is skipped
+        self.start, self.count, self.candidates = array("q", [0]), array("q", [0]), array("I", [0])
+        self.seen: set[int] = set()  # of parts, and of states with a skipped candidate, that came up once: the hashes
+
+    def again(self, what: object) -> bool:
+        """Whether it came up before: what comes up once is not worth remembering."""
+        h, n = hash(what), len(self.seen)
+        if n > 2 * REMEMBERED:
+            self.seen.clear()
+        self.seen.add(h)
+        return len(self.seen) == n
 
     def symbols(self, part: str) -> list[str]:
         out = list(part.replace(" ", SPACE))
@@ -131,9 +140,10 @@ class Codec:
         self.result.append(self.ids(symbols))
         return len(self.states) - 1
 
-    def drawn(self, states: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    def drawn(self, states: np.ndarray, keys: np.ndarray, alone: dict[int, str]) -> np.ndarray:
         """The last state of parts with these keys: candidates are drawn for all parts at once, and a part whose
-        draw skips one goes on in the state that follows, until nothing more is skipped."""
+        draw skips one goes on in the state that follows, until nothing more is skipped. Parts that come to a state for
+        the first time are put into `alone` instead."""
         states = states.copy()
         active = np.nonzero(states >= 0)[0] if self.below else np.zeros(0, np.int64)
         while len(active):
@@ -151,11 +161,41 @@ class Codec:
                 child = follow(key)
                 if child is None:
                     part, skips, before = self.states[key >> 20]
+                    if not self.again(key):
+                        alone[at] = part
+                        states[at] = -1
+                        continue
                     skipped = before + (key & 0xFFFFF)
                     child = self.children[key] = self.state(part, (*skips, skipped), skipped + 1)
                 states[at] = child
+            active = active[states[active] >= 0]
         return states
 
+    def direct(self, part: str, key: int) -> bytes:
+        """A part's ids, drawn by itself."""
+        symbols, rank, below = self.symbols(part), self.rank.get, self.below
+        if len(symbols) > SHORT:
+            return self.ids(self.agenda(symbols, key))
+        places = PLACES[: len(symbols)]
+        agenda = [rank(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
+        while agenda:
+            r = min(agenda)  # the leftmost of equals comes up first
+            if r == NONE:
+                break
+            i = agenda.index(r)
+            x = key ^ places[i] ^ (r * RANK & MASK)  # hashed(), in place
+            x = (x ^ x >> 16) * 0x7FEB352D & MASK
+            if (x ^ x >> 15) * 0x846CA68B & MASK < below:
+                agenda[i] = NONE
+                continue
+            p = symbols[i] = symbols[i] + symbols[i + 1]
+            del symbols[i + 1], places[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + p, NONE)
+            if i < len(agenda):
+                agenda[i] = rank(p + symbols[i + 1], NONE)
+        return self.ids(symbols)
+
     def agenda(self, symbols: list[str], key: int) -> list[str]:
         """The agenda as a heap, for one chunk of any length."""
         n, rank = len(symbols), self.rank.get
@@ -181,12 +221,13 @@ class Codec:
         return [s for s in symbols if s]
 
     def first_states(self, chunk: str) -> tuple[int, ...]:
-        """The first states of a chunk's parts; none if a part is too long to be remembered."""
-        out = []
-        for part in self.apart(chunk):
-            if len(part) > SHORT:
-                return ()
-            out.append(self.state(part, (), 0))
+        """The first states of a chunk's parts; none if one is too long or came up for the first time."""
+        parts, out = self.apart(chunk), []
+        if any(len(p) > SHORT for p in parts) or not self.again(chunk):
+            return ()
+        for part in parts:
+            own = self.chunks.get(part)
+            out.append(own[0] if own and len(parts) > 1 else self.state(part, (), 0))
         self.chunks[chunk] = tuple(out)
         return self.chunks[chunk]
 
@@ -196,7 +237,7 @@ class Codec:
         candidate's place and its piece says so, else merged."""
         out: list[list[bytes]] = [[] for _ in texts]
         states: list[int] = []
-        long: dict[int, str] = {}
+        alone: dict[int, str] = {}  # parts that are drawn one by one, by their places
         runs: list[tuple[int, int, int, int]] = []  # text, its key, its parts before, parts
         for t, text in enumerate(texts):
             key = zlib.crc32(text.encode("utf-8", "surrogatepass"), self.seed & MASK)
@@ -208,27 +249,27 @@ class Codec:
                     if own:
                         states += own
                         continue
-                    for part in self.apart(chunk):
-                        if len(part) > SHORT:
-                            long[len(states)] = part
-                            states.append(-1)
-                        else:
-                            states += self.chunks.get(part) or self.first_states(part)
+                    parts = self.apart(chunk)
+                    for part in parts:
+                        own = () if len(parts) == 1 else self.chunks.get(part) or self.first_states(part)
+                        if not own:
+                            alone[len(states)] = part
+                        states += own or (-1,)
                 runs.append((t, key, at, len(states) - first))
                 at += len(states) - first
                 if len(states) >= BLOCK:
-                    self.flush(states, long, runs, out)
-                    states, long, runs = [], {}, []
-        self.flush(states, long, runs, out)
+                    self.flush(states, alone, runs, out)
+                    states, alone, runs = [], {}, []
+        self.flush(states, alone, runs, out)
         yield from map(b"".join, out)
 
-    def flush(self, states: list[int], long: dict[int, str], runs: list[tuple[int, int, int, int]], out: list[list[bytes]]) -> None:
+    def flush(self, states: list[int], alone: dict[int, str], runs: list[tuple[int, int, int, int]], out: list[list[bytes]]) -> None:
         if not states:
             return
         keys = np.concatenate([np.arange(at, at + n, dtype=np.uint32) * np.uint32(PART) ^ np.uint32(key) for _, key, at, n in runs])
-        ids = list(map(self.result.__getitem__, self.drawn(np.array(states, np.int64), keys).tolist()))
-        for place, part in long.items():
-            ids[place] = self.ids(self.agenda(self.symbols(part), int(keys[place])))
+        ids = list(map(self.result.__getitem__, self.drawn(np.array(states, np.int64), keys, alone).tolist()))
+        for place, part in alone.items():
+            ids[place] = self.direct(part, int(keys[place]))
         end = 0
         for t, _, _, n in runs:
             out[t].append(b"".join(ids[end : end + n]))
