@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .toxicity import bucket, sample
-from .util import map_batches
+from .util import map_batches, slices
 
 #: Labelled documents that the network is fitted on at most: those with the smallest hashes of their ids.
 TRAIN_DOCS = 20_000
@@ -23,6 +23,8 @@ ROWS = 16_384
 DIMS, ONES = 32, 4
 #: Words to either side that a word's vector adds up.
 WINDOW = 2
+#: Ids whose surroundings are added up at a time.
+SLAB = 200_000
 HIDDEN = 32
 #: Rows kept for what no word is: capitals, punctuation by kind, digits, repeats.
 MARKS = 64
@@ -83,26 +85,31 @@ def contexts(docs: DataFrame, seed: int = 7) -> np.ndarray:
         reader, total = Reader(), np.zeros((ROWS, DIMS + 1), np.int64)
         held: list[np.ndarray] = []
         size = 0
-        for b in batches:
+        for b in slices(batches, 256):
             for text in b.column(0).to_pylist():
                 ids = reader.ids(text)
-                for at in range(0, len(ids), 500_000):  # a text of any length in bounded memory
-                    held += [ids[max(0, at - WINDOW) : at + 500_000], np.full(WINDOW, -1)]
-                    size += len(held[-2])
-                    if size > 200_000:
-                        add(total, np.concatenate(held))
-                        held, size = [], 0
+                if len(ids) > SLAB:  # a text of any length in bounded memory: a slab at a time, with what stands around it
+                    for at in range(0, len(ids), SLAB):
+                        low = max(0, at - WINDOW)
+                        add(total, ids[low : at + SLAB + WINDOW], at - low, at - low + SLAB)
+                    continue
+                held += [ids, np.full(WINDOW, -1)]
+                size += len(ids)
+                if size > SLAB:
+                    add(total, np.concatenate(held))
+                    held, size = [], 0
         if held:
             add(total, np.concatenate(held))
         rows = np.nonzero(total[:, DIMS])[0]
         yield {"row": rows} | {f"c{k}": total[rows, k] for k in range(DIMS + 1)}
 
-    def add(total: np.ndarray, ids: np.ndarray) -> None:
+    def add(total: np.ndarray, ids: np.ndarray, start: int = 0, end: int | None = None) -> None:
         vectors = np.concatenate([index, np.zeros((1, DIMS), np.int16)])[ids]
         around = np.zeros_like(vectors)
         for k in range(1, WINDOW + 1):
             around[k:] += vectors[:-k]
             around[:-k] += vectors[k:]
+        ids, around = ids[start:end], around[start:end]
         order = np.argsort(ids, kind="stable")
         order = order[np.searchsorted(ids[order], 0) :]
         if not len(order):
