@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.entity import prepared_entity
 from ..functions.keys import read_imo
 
 NAMES, PARTIES = "array<string>", "array<struct<role:string,name:string>>"
@@ -381,3 +382,14 @@ def read_list(spark: SparkSession, path: str, format: str, source: str | None =
     if out.isEmpty():
         raise ValueError(f"the file doesn't look like {format}: it has no entry that can be read")
     return out
+
+
+def not_in_feed(supplement: DataFrame, feed: DataFrame, act: str) -> DataFrame:
+    """The entries of a supplement that the feed doesn't hold yet: none of its entries under the act's number (say
+    2026/2193, at the head of a regulation's title) has, as name or alias, the same words in any order."""
+    key = lambda text: F.array_join(F.array_sort(F.split(text, " ")), " ")
+    under = F.exists("regulations", lambda r: F.rlike(r, F.lit(rf"^\s*{re.escape(act)}(?![\d/])")))
+    held = feed.where(under).select(F.explode(F.concat(F.array("name"), "alias")).alias("listed"))
+    held = held.select(key(prepared_entity("listed")[0]).alias("words")).distinct()
+    own = supplement.withColumn("words", key(prepared_entity("name")[0]))
+    return own.join(held, "words", "left_anti").drop("words")

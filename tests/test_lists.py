@@ -1,9 +1,10 @@
 import io
 import zipfile
+from datetime import date
 
 import pytest
 
-from sievewright.sources import lists
+from sievewright.sources import freshness, lists
 
 OFAC = """<?xml version="1.0"?><sdnList xmlns="https://example.invalid/x"><publshInformation><Record_Count>3</Record_Count></publshInformation>
 <sdnEntry><uid>1</uid><firstName>Ana</firstName><lastName>LUPESCU</lastName><sdnType>Individual</sdnType><programList><program>P1</program><program>P2</program></programList>
@@ -145,3 +146,29 @@ def test_a_list_without_entries_is_an_error(spark, file):
         lists.read_list(spark, file("u.xml", UN), "eu-fsf-xml")
     with pytest.raises(ValueError, match="no known format"):
         lists.read_list(spark, file("u.xml", UN), "pdf")
+
+
+def test_supplement_entries_that_the_feed_lacks(spark, file):
+    feed = lists.read_eu(spark, file("e.xml", EU))
+    rows = [("EU", "s1", "BRUN, Ola"), ("EU", "s2", "Brun AS"), ("EU", "s3", "Nora Vik")]
+    supplement = spark.createDataFrame(rows, "source string, id string, name string")
+    left = lambda act: sorted(r.id for r in lists.not_in_feed(supplement, feed, act).collect())
+    assert left("271/2011") == ["s2", "s3"] and left("271/201") == ["s1", "s2", "s3"]
+
+
+def test_freshness(spark, file):
+    text = '<export generationDate="2026-10-12T07:00:00">\n<a publicationDate="2026-07-23"/><a publicationDate="2026-07-01"/>\n</export>'
+    made = freshness.file_dates(spark, file("f.xml", text))
+    assert made == freshness.Recorded("2026-10-12", "2026-07-23")
+    for bad in (text.replace("2026-10-12", "2026-02-30"), text.replace("2026-07-01", "2026-10-14"), text.replace("2026-07-01", "soon"), text.replace("generationDate", "other")):
+        assert freshness.file_dates(spark, file("g.xml", bad)).fault
+    feed = "<rss><channel><item><link>x/full_1_1/c</link><pubDate>Mon, 12 Oct 2026 11:00:23 GMT</pubDate></item><item><link>x/other</link><pubDate>Tue, 13 Oct 2026 11:00:23 GMT</pubDate></item></channel></rss>"
+    assert freshness.announced(feed, "full_1_1") == ("2026-10-12", None) and freshness.announced(feed, "none")[1] and freshness.announced("<rss", "x")[1] and freshness.announced(feed.replace("12 Oct", "32 Oct"), "full_1_1")[1]
+    today = date(2026, 10, 14)
+    got = freshness.recorded(made, feed, "full_1_1", today)
+    assert got.confirmed == "2026-10-14" and freshness.stale(got, date(2026, 10, 21)) is None and freshness.stale(got, date(2026, 10, 22))
+    unread = freshness.recorded(made, "<rss", "full_1_1", date(2026, 10, 20), got)
+    assert unread.confirmed == "2026-10-14" and unread.unreadable and freshness.stale(unread, date(2026, 10, 21)) is None
+    newer = freshness.recorded(made, feed.replace("12 Oct", "14 Oct"), "full_1_1", today)
+    assert newer.confirmed is None and "2026-10-14" in freshness.stale(newer, today)
+    assert freshness.stale(made, date(2026, 10, 10)) and freshness.stale(freshness.Recorded(None), today) and freshness.stale(freshness.Recorded("2026-10-12", confirmed="2026-13-01"), today)
