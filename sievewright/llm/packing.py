@@ -6,7 +6,6 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -17,12 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from tokenizers import Tokenizer
 
-from .util import cut, map_batches
+from .util import cut, held, map_batches, slices
 
 CAPACITY = 1024
 END_ID = 2
 #: Parts that a worker remembers; those before them serve once more until so many others have come.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 CLOSE = re.compile(r"\A\s|\s(?:\s|\Z)")
 #: Signs before parts, and their bytes in the tokenizer's names of tokens.
 SIGNS = {" ": "Ġ", "\n": "Ċ"}
@@ -86,10 +85,9 @@ class Encoder:
                 yield self.whole([text])[0] if parts is None else b"".join(map(memory.__getitem__, parts))
 
 
-@lru_cache(maxsize=2)
 def worker_encoder(path: str) -> Encoder:
-    """A worker's encoder: what it remembers serves all tasks that the worker runs."""
-    return Encoder(path)
+    """A worker's encoder: what it remembers serves all tasks of this operator that the worker runs."""
+    return held(__name__, (path,), lambda: Encoder(path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -99,7 +97,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     def run(batches: Iterator[pa.RecordBatch]):
         encoder, task, seen = worker_encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in slices(batches, 1024):
             rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "task", "number")}
             for doc, ids in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 ids += end

@@ -7,7 +7,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -17,7 +16,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import map_batches, slices
+from .util import held, map_batches, slices
 
 SPACE = "▁"
 #: Chance that a candidate merge is skipped.
@@ -296,10 +295,10 @@ class Codec:
         return b"".join(map(self.out.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
-@lru_cache(maxsize=2)
 def worker_codec(path: str, dropout: float = DROPOUT, seed: int = 0) -> Codec:
-    """A worker's codec: what it remembers, at most REMEMBERED states, serves all tasks that the worker runs."""
-    return Codec(path, dropout, seed)
+    """A worker's codec: what it remembers, at most REMEMBERED states, serves all tasks of this operator that the
+    worker runs."""
+    return held(__name__, (path, dropout, seed), lambda: Codec(path, dropout, seed))
 
 
 def encoded(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = 0) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+T = TypeVar("T")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -75,12 +78,27 @@ def struct(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
 
+#: What this worker process holds beyond a task: the module that it belongs to, its key, and the object.
+_held: list[tuple[str, tuple, object]] = []
+
+
+def held(module: str, key: tuple, make: Callable[[], T]) -> T:
+    """An object that a worker makes once and keeps for the tasks to come, until another operator's tasks run in it:
+    workers are reused, and what several operators remember would add up."""
+    if not _held or _held[0][:2] != (module, key):
+        _held.clear()
+        _held.append((module, key, make()))
+    return _held[0][2]
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], ddl: str) -> DataFrame:
     """mapInArrow for functions that yield dicts of columns in the order of ddl."""
     schema = struct(ddl)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _held and _held[0][0] != fn.__module__:
+            _held.clear()
         for out in fn(batches):
             arrays = [pa.array(out[f.name], type=f.type) for f in arrow]
             if len(arrays[0]):
