@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import cut, map_batches
+from .util import cut, map_batches, release
 
 #: Bytes of an archive's chunk row, and of a payload's chunk row.
 CHUNK = 1 << 20
@@ -245,6 +245,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     responses; rows with a null page_id revisit like others but are referred to only if no copy has an id, which
     makes them responses. No rows give no rows; other columns are ignored, whatever their names."""
     archives, _ = cut(write(pages), "warc")
+    release(pages.sparkSession)  # the payloads' shuffle, before the archives' own
     return read(archives, with_data=False).where("is_last").select(
         "page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to"
     )
