@@ -11,7 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import cut, map_batches, release
+from .lines import maybe_in
+from .util import cut, map_batches
 
 #: Bytes of an archive's chunk row, and of a payload's chunk row.
 CHUNK = 1 << 20
@@ -46,12 +47,16 @@ def write(pages: DataFrame, chunk: int = CHUNK, revisit_from: int = REVISIT_FROM
 
     Of records with equal payloads of at least `revisit_from` bytes that with the smallest page_id is a response,
     others are revisits without a payload; their HTTP header keeps the length. The smallest ids are minima by
-    digest, combined before the shuffle, and only digests that occur twice go back to the pages."""
+    digest, combined before the shuffle, and only digests that occur twice go back to the pages. Pages that a bit set
+    of those digests shows to be the only ones with theirs are written where they are read; the others are joined."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
     firsts = base.select("page_id", "digest", "size").where(F.col("size") >= revisit_from).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    known = base.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", "first")
+    firsts, _ = cut(firsts, "digests")
+    shared = maybe_in(F.xxhash64("digest"), firsts.select(F.xxhash64("digest").alias("x")))
+    alone = base.where(~shared).withColumn("first", F.lit(None).cast("long"))
+    known = alone.select("page_id", "url", "payload", "digest", "first").union(base.where(shared).join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", "first"))
 
     def run(batches: Iterator[pa.RecordBatch]):
         task, number, seq, held = f"{TaskContext.get().partitionId():08d}", 0, 0, bytearray()
@@ -245,7 +250,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     responses; rows with a null page_id revisit like others but are referred to only if no copy has an id, which
     makes them responses. No rows give no rows; other columns are ignored, whatever their names."""
     archives, _ = cut(write(pages), "warc")
-    release(pages.sparkSession)  # the payloads' shuffle, before the archives' own
     return read(archives, with_data=False).where("is_last").select(
         "page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to"
     )
