@@ -103,6 +103,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable
             arrays = [pa.array(out[f.name], type=f.type) for f in arrow]
             if len(arrays[0]):
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker stays, idle, beside what the next operator's tasks need
 
     return df.mapInArrow(run, schema)
 
