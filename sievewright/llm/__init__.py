@@ -1 +1 @@
-"""Training-data operators. Nothing outside this package imports it."""
+"""Training-data operators. Nothing outside this package imports it but `util.cut`."""

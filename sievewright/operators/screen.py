@@ -9,6 +9,7 @@ from pyspark.sql import Window
 
 from ..functions.entity import conflict, prepared_entity
 from ..functions.keys import imo_valid, is_vessel, trigrams
+from ..llm.util import cut
 from .matchers import osa
 
 STRONG, POSSIBLE, SHOWN = 0.81, 0.80, 5
@@ -122,22 +123,54 @@ def like_words(x: DataFrame, y: DataFrame) -> DataFrame:
     return equal.union(shorter(x, "wa").join(shorter(y, "wb"), "key").select("wa", "wb")).union(long.select("wa", "wb")).distinct()
 
 
+def gain_at_most(w: Column, o: Column) -> Column:
+    """What two words gain at most: an edit of `osa` takes two of Levenshtein's at most."""
+    apart = F.ceil(F.levenshtein(w, o) / 2) + F.when(F.substring(w, 1, 1) == F.substring(o, 1, 1), 0).otherwise(1)
+    return F.greatest(F.lit(0.0), F.lit(1.0) - apart * 2 / F.greatest(F.char_length(w), F.char_length(o)))
+
+
+def loss_at_least(words: Column, weights: Column, others: Column, most: Column) -> Column:
+    """What the words of a name lose of their weight at least beside the other's; counted no further once above `most`."""
+    gain = lambda w: F.when(F.array_contains(others, w), 1.0).otherwise(F.array_max(F.transform(others, lambda o: gain_at_most(w, o))))
+    more = lambda lost, x: F.when(lost > most, lost).otherwise(lost + x["k"] * (1 - gain(x["w"])))
+    return F.aggregate(F.arrays_zip(words.alias("w"), weights.alias("k")), F.lit(0.0), more)
+
+
+def may_match(possible: float = POSSIBLE) -> Column:
+    """False only for pairs (words and weights xa, ka and xb, kb) that stay below the possible level but as glued names:
+    the words lose too much, and neither name holds the other."""
+    xa, ka, xb, kb = (F.col(c) for c in ("xa", "ka", "xb", "kb"))
+    most = (F.col("suma") + F.col("sumb")) * F.lit(1 - possible + 1e-6)
+    within = lambda x, y: (F.size(x) >= 2) & (F.size(F.array_except(x, y)) == 0)
+    first = loss_at_least(xa, ka, xb, most)
+    return within(xa, xb) | within(xb, xa) | ((first <= most) & (first + loss_at_least(xb, kb, xa, most) <= most))
+
+
+def glued(mine: DataFrame, listed: DataFrame) -> DataFrame:
+    """(a, b): texts of different numbers of words whose letters are alike as one block. Their lengths differ by two at
+    most, and of a block's trigrams, as many as its letters, an edit takes four and moves the others by one: a fifth of
+    the letters in edits leaves one. The pair is decided where they meet, on its letters."""
+    glue = lambda x: F.replace(F.col(x), F.lit(" "), F.lit(""))
+    block = lambda df, x: df.select(F.col("text").alias(x), F.size("words").alias(f"n{x}"), F.char_length(glue("text")).alias(f"l{x}"), F.posexplode(trigrams(glue("text"))).alias(f"p{x}", "key"))
+    near = block(mine, "a").withColumn("lb", F.explode(F.sequence(F.col("la") - 2, F.col("la") + 2)))
+    edits = F.floor(F.greatest("la", "lb") * F.lit(1 - BLOCK) + F.lit(1e-9)).cast("int")
+    alike = (F.col("na") != F.col("nb")) & (F.abs(F.col("pa") - F.col("pb")) <= edits) & (F.levenshtein(glue("a"), glue("b")) <= 2 * edits)
+    return near.join(block(listed, "b"), ["key", "lb"]).where(alike).select("a", "b")
+
+
 def candidates(mine: DataFrame, listed: DataFrame) -> DataFrame:
     """(a, b): pairs of texts that may reach the possible level, by equi-joins.
 
     A score of 0.8 needs a heavy word of one name that is like any word of the other: common words count in names
-    that hold hardly anything else. Glued names are found by their trigrams, of which an edit takes four at most, if
-    their numbers of words differ and their lengths by two at most."""
-    side = lambda df, which, text, word: df.select(F.col("text").alias(text), F.explode(F.array_distinct(which)).alias(word))
+    that hold hardly anything else. Glued names are found by their trigrams. Most pairs that meet share a common word
+    or trigram and nothing else: what can't reach the level goes where they meet, before anything is shuffled."""
+    own = lambda df, text: df.select(F.col("text").alias(text), F.col("words").alias(f"x{text}"), F.col("weights").alias(f"k{text}"), F.aggregate("weights", F.lit(0.0), lambda s, k: s + k).alias(f"sum{text}"), "prefix")
+    side = lambda df, which, text, word: own(df, text).withColumn(word, F.explode(F.array_distinct(which or f"x{text}"))).drop("prefix")
     vocabulary = lambda df: df.select(F.explode("words").alias("w")).distinct()
-    like = like_words(vocabulary(mine), vocabulary(listed))
-    heavy = side(mine, "prefix", "a", "wa").join(like, "wa").join(side(listed, "words", "b", "wb"), "wb").select("a", "b")
-    light = side(mine, "words", "a", "wa").join(like, "wa").join(side(listed, "prefix", "b", "wb"), "wb").select("a", "b")
-    glue = F.array_join("words", "")
-    block = lambda df, x: df.select(F.col("text").alias(x), F.size("words").alias(f"n{x}"), F.char_length(glue).alias(f"l{x}"), F.array_distinct(trigrams(glue)).alias("g")).select("*", F.size("g").alias(f"g{x}"), F.explode("g").alias("key")).drop("g")
-    near = (F.col("na") != F.col("nb")) & (F.abs(F.col("la") - F.col("lb")) <= 2)
-    shared = block(mine, "a").join(block(listed, "b"), "key").where(near).groupBy("a", "b").agg(F.count("*").alias("n"), F.first(F.greatest("ga", "gb") - 4 * F.floor(F.greatest("la", "lb") * F.lit(1 - BLOCK) + 1e-9)).alias("least"))
-    return heavy.union(light).union(shared.where("n >= least").select("a", "b")).distinct()
+    like, _ = cut(like_words(vocabulary(mine), vocabulary(listed)), "screen-like")
+    heavy = side(mine, "prefix", "a", "wa").join(like, "wa").join(side(listed, None, "b", "wb"), "wb").where(may_match()).select("a", "b")
+    light = side(mine, None, "a", "wa").join(like, "wa").join(side(listed, "prefix", "b", "wb"), "wb").where(may_match()).select("a", "b")
+    return heavy.union(light).union(glued(mine, listed)).distinct()
 
 
 def screen(parties: DataFrame, entries: DataFrame, strong: float = STRONG, possible: float = POSSIBLE, exhaustive: bool = False) -> DataFrame:
@@ -149,14 +182,15 @@ def screen(parties: DataFrame, entries: DataFrame, strong: float = STRONG, possi
     for field in MORE.split(", "):
         column, kind = field.split(" ", 1)
         entries = entries if column in entries.columns else entries.withColumn(column, F.lit(None).cast(kind))
-    listed = names(entries)
+    listed, _ = cut(names(entries), "screen-listed")
     mine = parties.where("trim(coalesce(name, '')) <> ''")
     total = entries.count()
-    spelled, sent = texts(listed, "listed"), texts(mine, "name")
+    # what several joins read is written once: the plan of all of them at once takes the driver hundreds of MB
+    (spelled, _), (sent, _) = cut(texts(listed, "listed"), "screen-spelled"), cut(texts(mine, "name"), "screen-sent")
     by_entry = listed.join(spelled, "listed").select("eid", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
-    frequency = by_entry.groupBy("w").agg(F.countDistinct("eid").alias("df"))
-    a, b = weighed(sent, frequency, total), weighed(spelled, frequency, total)
-    found = a.select(F.col("text").alias("a")).crossJoin(b.select(F.col("text").alias("b"))) if exhaustive else candidates(a, b)
+    frequency, _ = cut(by_entry.groupBy("w").agg(F.countDistinct("eid").alias("df")), "screen-frequency")
+    (a, _), (b, _) = cut(weighed(sent, frequency, total), "screen-weighed"), cut(weighed(spelled, frequency, total), "screen-weighed")
+    found = a.select(F.col("text").alias("a")).crossJoin(b.select(F.col("text").alias("b"))) if exhaustive else cut(candidates(a, b), "screen-pairs")[0]
     mark = lambda df, x: df.select(F.col("text").alias(x), F.col("marks").alias(f"m{x}")).distinct()
     pairs = found.join(mark(sent, "a"), "a").join(mark(spelled, "b"), "b").select("a", "b", "ma", "mb", conflict(F.col("ma"), F.col("mb")).alias("doubt"))
     full = lambda df, x: df.select(F.col("text").alias(x), F.col("words").alias(f"w{x}"), F.col("weights").alias(f"k{x}"))
@@ -167,6 +201,7 @@ def screen(parties: DataFrame, entries: DataFrame, strong: float = STRONG, possi
         return pd.Series([entity_score(list(x), list(y), list(u), list(v), d) for x, y, u, v, d in zip(x, y, u, v, doubt, strict=True)])
 
     alike = both.select("a", "b", "doubt", score("wa", "wb", "ka", "kb", "doubt").alias("raw")).where(F.col("raw") >= possible - 1e-9)
+    alike, _ = cut(alike, "screen-alike")
     alike = pairs.join(alike, ["a", "b", "doubt"]).join(sent.toDF("name", "a", "ma"), ["a", "ma"]).join(spelled.toDF("listed", "b", "mb"), ["b", "mb"]).select("name", "listed", "raw")
     by_name = mine.select("line", "name").join(alike, "name").join(listed, "listed")
     rounded = F.floor(F.col("raw") * 1000 + 0.5) / 1000

@@ -174,6 +174,20 @@ def test_candidates_lose_nothing(spark):
     assert screen.candidates(screen.weighed(a, often, 150), screen.weighed(b, often, 150)).count() < 0.1 * len(sent) * len(listed)
 
 
+def test_names_that_share_only_common_words_or_trigrams_are_no_candidates(spark):
+    rng = random.Random(4)
+    made = sorted({"".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(5)) for _ in range(80)})
+    names = [f"trading {w}" if k % 2 else f"{w[:5]} {w[5:]}ing co" for k, w in enumerate(made)] + ["sun rise", "sunrise", "trading", "trading ltd"]
+    entries = spark.createDataFrame([("L", str(k), n, [], [], "entity", "P", None, []) for k, n in enumerate(names)], screen.ENTRY)
+    once = screen.texts(entries, "name")
+    often = spark.createDataFrame([("none", 1)], "w string, df long")  # all words weigh alike
+    own = screen.weighed(once, often, 100)
+    found = {tuple(r) for r in screen.candidates(own, own).collect()}
+    texts = {r.text: (list(r.words), list(r.weights)) for r in own.collect()}
+    right = {(a, b) for a, (x, u) in texts.items() for b, (y, v) in texts.items() if screen.entity_score(x, y, u, v) >= screen.POSSIBLE - 1e-9}
+    assert right <= found and ("sun rise", "sunrise") in found and len(found) < 3 * len(right)
+
+
 def test_reports(spark, tmp_path):
     rows = [("OFAC", "1", "=Ocean Star", ["Star O"], [], "vessel", "P", "9074729", [], None, None, [("vesselOwner", "Big Co")]), ("L", "2", "Globex, Industries", [], ["Globex"], "entity", None, None, [], "2020-01-02", "start_date", [])]
     entries = spark.createDataFrame(rows, f"{screen.ENTRY}, {screen.MORE}")
