@@ -70,6 +70,8 @@ class Codec:
         self.below = int(dropout * (MASK + 1))
         self.seed = seed
         self.rank = {p: r for p, r in self.rank.items() if len(p) > 1}
+        self.keys = {r: r * RANK & MASK for r in self.rank.values()}
+        self.four = {p: i.to_bytes(4, "little") for p, i in self.piece.items()}
         self.forget()
 
     def skipped(self, key: int, place: int, rank: int) -> bool:
@@ -98,15 +100,17 @@ class Codec:
         return out
 
     def ids(self, symbols: list[str]) -> bytes:
-        ids = list(map(self.piece.get, symbols))
-        if None in ids:
-            ids = []
-            for s in symbols:
-                known = self.piece.get(s)
-                if known is None:
-                    ids += [self.byte[b] for b in s.removeprefix("\0" if len(s) > 1 else "").encode("utf-8", "surrogatepass")]
-                else:
-                    ids.append(known)
+        try:
+            return b"".join(map(self.four.__getitem__, symbols))
+        except KeyError:
+            pass
+        ids = []
+        for s in symbols:
+            known = self.piece.get(s)
+            if known is None:
+                ids += [self.byte[b] for b in s.removeprefix("\0" if len(s) > 1 else "").encode("utf-8", "surrogatepass")]
+            else:
+                ids.append(known)
         return array("I", ids).tobytes()
 
     def state(self, part: str, skips: tuple[int, ...], before: int) -> int:
@@ -172,23 +176,20 @@ class Codec:
 
     def direct(self, part: str, key: int) -> bytes:
         """A part's ids, drawn by itself."""
-        symbols, rank, below = self.symbols(part), self.rank.get, self.below
+        symbols, rank, below, keys = self.symbols(part), self.rank.get, self.below, self.keys
         if len(symbols) > SHORT:
             return self.ids(self.agenda(symbols, key))
         places = PLACES[: len(symbols)]
         agenda = [rank(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
-        while agenda:
-            r = min(agenda)  # the leftmost of equals comes up first
-            if r == NONE:
-                break
+        while agenda and (r := min(agenda)) != NONE:  # the leftmost of equals comes up first
             i = agenda.index(r)
-            x = key ^ places[i] ^ (r * RANK & MASK)  # hashed(), in place
+            x = key ^ places[i] ^ keys[r]  # hashed(), in place
             x = (x ^ x >> 16) * 0x7FEB352D & MASK
             if (x ^ x >> 15) * 0x846CA68B & MASK < below:
                 agenda[i] = NONE
                 continue
-            p = symbols[i] = symbols[i] + symbols[i + 1]
-            del symbols[i + 1], places[i + 1], agenda[i]
+            p = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del places[i + 1], agenda[i]
             if i:
                 agenda[i - 1] = rank(symbols[i - 1] + p, NONE)
             if i < len(agenda):
@@ -221,8 +222,10 @@ class Codec:
 
     def first_states(self, chunk: str) -> tuple[int, ...]:
         """The first states of a chunk's parts; none if one is too long or came up for the first time."""
+        if not self.again(chunk):
+            return ()
         parts, out = self.apart(chunk), []
-        if any(len(p) > SHORT for p in parts) or not self.again(chunk):
+        if any(len(p) > SHORT for p in parts):
             return ()
         for part in parts:
             own = self.chunks.get(part)
@@ -282,6 +285,8 @@ class Codec:
     def apart(self, chunk: str) -> list[str]:
         """A chunk cut between words and other characters wherever no piece has the two characters side by side: no
         merge crosses such a place."""
+        if chunk.lstrip(" ").isalnum():  # one word
+            return [chunk]
         words = WORDS.findall(chunk)
         out = words[:1]
         for w in words[1:]:

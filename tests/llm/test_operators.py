@@ -714,3 +714,10 @@ def test_pipeline_on_nulls_repeats_and_clashing_columns(spark, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in here.collect()), key=str) == sorted([(None, text), (None, "other words stand here"), (4, ""), (4, "a text of its own with the same id")], key=str)
     only = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted(((r.doc_id, r.text) for r in only), key=str) == sorted([(4, text), (4, "a text of its own with the same id"), (None, "other words stand here"), (6, None)], key=str)
+
+
+def test_words_that_come_up_once_are_cut_apart_once(monkeypatch):
+    codec, cut, calls = pieces.Codec(public_tokenizers.path("piece_bpe_32k.model")), pieces.Codec.apart, []
+    monkeypatch.setattr(pieces.Codec, "apart", lambda self, chunk: calls.append(chunk) or cut(self, chunk))
+    codec.encode(" ".join(f"bna{chr(97 + k)}o" for k in range(20)))
+    assert len(calls) == 20 and codec.apart(" ab1é_") == pieces.WORDS.findall(" ab1é_")
