@@ -38,12 +38,13 @@ def hashes(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def constant(rows: DataFrame, size: int) -> Column:
-    """Rows (b, v), one for each b at most, as a constant of `size` bytes: v, of 0 to 127, or 0 for every b below size."""
+def constant(rows: DataFrame, size: int) -> tuple[Column, str]:
+    """Rows (b, v), one for each b at most, as a constant of `size` bytes: v, of 0 to 127, or 0 for every b below size;
+    and the place of the table that holds it. It is a subquery, as every text of a plan would spell out a literal."""
     every = rows.select(F.col("b").cast("long").alias("b"), F.col("v").cast("int").alias("v")).union(rows.sparkSession.range(size).select(F.col("id").alias("b"), F.lit(0).alias("v")))
     one = every.groupBy("b").agg(F.sum("v").alias("v")).agg(F.sort_array(F.collect_list(F.struct("b", "v"))).alias("all"))
-    text = one.select(F.array_join(F.transform("all", lambda x: F.char(x["v"])), "")).first()[0]
-    return F.lit(text.encode("ascii"))
+    bytes_, place = cut(one.select(F.array_join(F.transform("all", lambda x: F.char(x["v"])), "").cast("binary").alias("bytes")), "line-constant")
+    return bytes_.scalar(), place
 
 
 def at(constant: Column, place: Column) -> Column:
@@ -51,8 +52,8 @@ def at(constant: Column, place: Column) -> Column:
     return F.ascii(F.call_function("substring", constant, place + 1, F.lit(1)).cast("string"))
 
 
-def commonness(lines: DataFrame) -> Column:
-    """A constant of bytes: for each bucket of words four times the binary logarithm of how often they occur in all
+def commonness(lines: DataFrame) -> tuple[Column, str]:
+    """A constant of bytes and its place: for each bucket of words four times the binary logarithm of how often they occur in all
     lines."""
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     counted = lines.select(F.explode(F.split(F.col("line"), " ")).alias("w")).where("w <> ''").groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
@@ -91,15 +92,14 @@ def least_overlap(n: Column, threshold: float) -> Column:
     return F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int")
 
 
-def ranked_lines(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
+def ranked_lines(lines: DataFrame, common: Column, threshold: float, min_words: int) -> DataFrame:
     """The distinct lines: identity x and y, first place (doc_id, no), size n, parity bits and p, the prefix of
     n - overlap + 2 words."""
-    common = commonness(lines)
-    release(lines.sparkSession)
     n = F.col("n")
     return (
         lines.where(F.length("line") >= 2 * min_words - 1)
-        .select("x", "y", "doc_id", "no", ranked(F.col("line"), common).alias("s"))
+        .select("x", "y", "doc_id", "no", "line", common.alias("common"))  # lambdas take no subquery itself
+        .select("x", "y", "doc_id", "no", ranked(F.col("line"), F.col("common")).alias("s"))
         .select("x", "y", "doc_id", "no", F.size("s").alias("n"), "s")
         .select("x", "y", "doc_id", "no", "n", *parity(F.col("s")), F.slice("s", 1, n - least_overlap(n, threshold) + 2).alias("p"))
         .groupBy("x", "y")
@@ -163,12 +163,13 @@ def promising(a: str, b: str, threshold: float, first: bool) -> Column:
     return (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - F.lit(1e-9)) & (before + F.least(n - i, m - j) >= need) & (bits("bits") + bits("more_bits") <= n + m - 2 * need)
 
 
-def maybe_in(x: Column, wanted: DataFrame) -> Column:
-    """False only for hashes that aren't among those wanted: a bit set of 7 bits in each of FILTER bytes, built from
+def maybe_in(x: Column, wanted: DataFrame) -> tuple[Column, str]:
+    """And the place of its table. False only for hashes that aren't among those wanted: a bit set of 7 bits in each of FILTER bytes, built from
     all of them."""
     place, bit = lambda x: F.pmod(x, F.lit(FILTER)).cast("int"), lambda x: F.pmod(F.shiftrightunsigned(x, 32), F.lit(7)).cast("int")
     bits = wanted.groupBy(place(F.col("x")).alias("b")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), bit(F.col("x")))).alias("v"))
-    return F.getbit(at(constant(bits, FILTER), place(x)), bit(x)) == 1
+    held, kept = constant(bits, FILTER)
+    return F.getbit(at(held, place(x)), bit(x)) == 1, kept
 
 
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -177,7 +178,8 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     spark = lines.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted, place = cut(pairs.select("x").union(pairs.select(F.col("o").alias("x"))).distinct(), "lines-wanted")
-    own = lines.where(maybe_in(F.col("x"), wanted)).select("x", "y", "line").dropDuplicates(["x", "y"]).join(wanted, "x", "left_semi").select("x", "y", hashes(F.col("line")).alias("w"))
+    maybe, kept = maybe_in(F.col("x"), wanted)
+    own = lines.where(maybe).select("x", "y", "line").dropDuplicates(["x", "y"]).join(wanted, "x", "left_semi").select("x", "y", hashes(F.col("line")).alias("w"))
     name = f"line_words_{uuid.uuid4().hex}"
     own.write.bucketBy(parts, "x").format("parquet").saveAsTable(name)
     try:
@@ -187,7 +189,8 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
         similar, _ = cut(joined.where(common >= (F.size("w") + F.size("v") - common) * F.lit(threshold) - F.lit(1e-9)).select("x", "y").distinct(), "lines-dead")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    remove(spark, place)
+    for done in (place, kept):
+        remove(spark, done)
     release(spark)
     return similar
 
@@ -217,7 +220,10 @@ def dead_lines(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, places = f"line_index_{uuid.uuid4().hex}", []
     # buckets by x: what is dead joins without another shuffle of the lines
-    ranked_lines(lines, threshold, min_words).repartition(parts, "x").write.bucketBy(parts, "x").format("parquet").saveAsTable(name)
+    common, place = commonness(lines)
+    release(spark)
+    ranked_lines(lines, common, threshold, min_words).repartition(parts, "x").write.bucketBy(parts, "x").format("parquet").saveAsTable(name)
+    remove(spark, place)
     try:
         once = spark.table(name)
         release(spark)

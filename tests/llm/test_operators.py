@@ -721,3 +721,11 @@ def test_words_that_come_up_once_are_cut_apart_once(monkeypatch):
     monkeypatch.setattr(pieces.Codec, "apart", lambda self, chunk: calls.append(chunk) or cut(self, chunk))
     codec.encode(" ".join(f"bna{chr(97 + k)}o" for k in range(20)))
     assert len(calls) == 20 and codec.apart(" ab1é_") == pieces.WORDS.findall(" ab1é_")
+
+
+def test_plans_dont_spell_out_the_tables_of_words(spark):
+    rows = lines.all_lines(spark.createDataFrame([(1, "a b c\nd e f"), (2, "a b c d")], "doc_id long, text string"))
+    common, _ = lines.commonness(rows)
+    maybe, _ = lines.maybe_in(F.col("x"), rows.select("x"))
+    for plan, n in ((lines.ranked_lines(rows, common, 0.8, 1), 3), (rows.where(maybe), 3)):
+        assert plan.count() == n and len(plan._jdf.queryExecution().toString()) < 100_000
