@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .util import cut, release, remove
+from .util import cut, release, remove, tidied
 
 THRESHOLD = 0.8
 #: Words are counted in so many buckets: a table of this size, whatever the corpus.
@@ -181,7 +181,8 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     maybe, kept = maybe_in(F.col("x"), wanted)
     own = lines.where(maybe).select("x", "y", "line").dropDuplicates(["x", "y"]).join(wanted, "x", "left_semi").select("x", "y", hashes(F.col("line")).alias("w"))
     name = f"line_words_{uuid.uuid4().hex}"
-    own.write.bucketBy(parts, "x").format("parquet").saveAsTable(name)
+    with tidied(spark):
+        own.write.bucketBy(parts, "x").format("parquet").saveAsTable(name)
     try:
         own = spark.table(name)
         joined = pairs.join(own, "x").join(own.select(F.col("x").alias("o"), F.col("w").alias("v")), "o")
@@ -222,7 +223,8 @@ def dead_lines(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
     # buckets by x: what is dead joins without another shuffle of the lines
     common, place = commonness(lines)
     release(spark)
-    ranked_lines(lines, common, threshold, min_words).repartition(parts, "x").write.bucketBy(parts, "x").format("parquet").saveAsTable(name)
+    with tidied(spark):
+        ranked_lines(lines, common, threshold, min_words).repartition(parts, "x").write.bucketBy(parts, "x").format("parquet").saveAsTable(name)
     remove(spark, place)
     try:
         once = spark.table(name)

@@ -36,15 +36,29 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: Spark's setting that removes a query's shuffle files when it ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Places of the tables that this process has cut and not removed, oldest first.
 cuts: list[str] = []
 
 
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes within go as each ends; else they stay until the driver has collected its garbage."""
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(TIDY, before)
+
+
 def cut(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write df as a Parquet table in the shared folder and read it back: the plan starts anew there."""
     spark, place = df.sparkSession, f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     cuts.append(place)
-    df.write.parquet(place)
+    with tidied(spark):
+        df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place), place
 
 
