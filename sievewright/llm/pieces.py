@@ -30,6 +30,10 @@ SHORT = 48
 #: Chunks that are drawn for at a time, and documents of a batch that are encoded at a time.
 BLOCK, SLICE = 1 << 16, 256
 NONE = 1 << 40
+#: The same in arrays of 32 bits.
+FAR = (1 << 31) - 1
+#: Parts of up to so many characters are merged at once.
+WIDTHS = (5, 7, 9, 12, 16, 24, SHORT)
 
 WORDS = re.compile(r" *\w+|.", re.S)
 CHUNK = re.compile(" *[^ ]+| +")
@@ -72,8 +76,22 @@ class Codec:
         self.rank = {p: r for p, r in self.rank.items() if len(p) > 1}
         self.keys = {r: r * RANK & MASK for r in self.rank.values()}
         self.four = {p: i.to_bytes(4, "little") for p, i in self.piece.items()}
+        self.arrays()
         self.forget()
 
+    def arrays(self) -> None:
+        """For merges of many parts at once: the id of each character that is a piece, and of each pair of pieces that
+        make one, by their ids, the id and rank of what they make."""
+        n = len(self.out)
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for p, i in self.piece.items():
+            if len(p) == 1:
+                self.of_char[ord(" " if p == SPACE else p)] = i  # the sign itself is no blank
+        found = sorted((self.piece[p[:k]] * n + self.piece[p[k:]], self.piece[p], r) for p, r in self.rank.items() for k in range(1, len(p)) if p[:k] in self.piece and p[k:] in self.piece)
+        self.pairs = np.array([f[0] for f in found] + [1 << 62], np.int64)
+        self.made = np.array([f[1] for f in found] + [-1], np.int32)
+        self.ranks = np.array([f[2] for f in found] + [FAR], np.int32)
+
     def skipped(self, key: int, place: int, rank: int) -> bool:
         return hashed(key, place, rank) < self.below
 
@@ -196,6 +214,63 @@ class Codec:
                 agenda[i] = rank(p + symbols[i + 1], NONE)
         return self.ids(symbols)
 
+    def looked_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What pairs of pieces make, and its rank; negative ids make nothing."""
+        wanted = a.astype(np.int64) * len(self.out) + b
+        wanted[(a < 0) | (b < 0)] = -1
+        at = np.searchsorted(self.pairs, wanted)
+        at[self.pairs[at] != wanted] = len(self.pairs) - 1
+        return self.made[at], self.ranks[at]
+
+    def directs(self, parts: list[str], keys: np.ndarray) -> list[bytes]:
+        """direct() of many parts: those made of characters that are pieces are merged together, by their lengths."""
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        chars = self.of_char[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        starts = np.cumsum(lengths) - lengths
+        fits = (np.minimum.reduceat(chars, starts) >= 0) & (lengths <= SHORT)
+        out = [b"" if fit else self.direct(part, key) for part, key, fit in zip(parts, keys.tolist(), fits.tolist(), strict=True)]
+        least = 0
+        for width in WIDTHS:
+            rows = np.nonzero(fits & (lengths > least) & (lengths <= width))[0]
+            least = width
+            if len(rows):
+                place = np.arange(width + 1)
+                symbols = np.where(place < lengths[rows, None], chars[np.minimum(starts[rows, None] + place, len(chars) - 1)], -1)
+                self.merge(symbols, keys[rows])
+                left = symbols >= 0
+                ids, ends = symbols[left].astype("<u4").tobytes(), np.cumsum(left.sum(1)) * 4
+                begin = 0
+                for row, end in zip(rows.tolist(), ends.tolist(), strict=True):
+                    out[row] = ids[begin:end]
+                    begin = end
+        return out
+
+    def merge(self, symbols: np.ndarray, keys: np.ndarray) -> None:
+        """Merges the rows of symbols, ids with negative ones behind them, in place; what goes becomes negative. Each
+        step takes one candidate of every row, the leftmost of the lowest rank; a symbol stays where its first
+        character was. The last column, which -1 also reaches, is of no symbol."""
+        after, before = (np.tile(np.arange(d, d + symbols.shape[1]), (len(symbols), 1)) for d in (1, -1))
+        made, ranks = (np.full(symbols.shape, x, np.int32) for x in (-1, FAR))
+        made[:, :-1], ranks[:, :-1] = self.looked_up(symbols[:, :-1], symbols[:, 1:])
+        own, places = np.arange(len(symbols)), np.arange(symbols.shape[1], dtype=np.uint32) * np.uint32(PLACE)
+        while len(own):
+            i = ranks[own].argmin(1)
+            r = ranks[own, i]
+            some = r < FAR
+            own, i, r = own[some], i[some], r[some]
+            x = keys[own] ^ places[i] ^ r.astype(np.uint32) * np.uint32(RANK)
+            x = (x ^ x >> np.uint32(16)) * np.uint32(0x7FEB352D)  # hashed(), for many at once
+            skip = (x ^ x >> np.uint32(15)) * np.uint32(0x846CA68B) < self.below
+            ranks[own[skip], i[skip]] = FAR
+            row, i = own[~skip], i[~skip]
+            gone, first = after[row, i], before[row, i]
+            last, p = after[row, gone], made[row, i]
+            symbols[row, i], symbols[row, gone], ranks[row, gone] = p, -1, FAR
+            after[row, i], before[row, last] = last, i
+            found = self.looked_up(np.concatenate([symbols[row, first], p]), np.concatenate([p, symbols[row, last]]))
+            for kept, new in zip((made, ranks), found, strict=True):
+                kept[row, first], kept[row, i] = new[: len(row)], new[len(row) :]
+
     def agenda(self, symbols: list[str], key: int) -> list[str]:
         """The agenda as a heap, for one chunk of any length."""
         n, rank = len(symbols), self.rank.get
@@ -270,8 +345,9 @@ class Codec:
             return
         keys = np.concatenate([np.arange(at, at + n, dtype=np.uint32) * np.uint32(PART) ^ np.uint32(key) for _, key, at, n in runs])
         ids = list(map(self.result.__getitem__, self.drawn(np.array(states, np.int64), keys, alone).tolist()))
-        for place, part in alone.items():
-            ids[place] = self.direct(part, int(keys[place]))
+        if alone:
+            for place, own in zip(alone, self.directs(list(alone.values()), keys[list(alone)]), strict=True):
+                ids[place] = own
         end = 0
         for t, _, _, n in runs:
             out[t].append(b"".join(ids[end : end + n]))

@@ -723,6 +723,19 @@ def test_words_that_come_up_once_are_cut_apart_once(monkeypatch):
     assert len(calls) == 20 and codec.apart(" ab1é_") == pieces.WORDS.findall(" ab1é_")
 
 
+def test_parts_that_come_up_once_are_merged_together(monkeypatch):
+    rng, path = random.Random(8), public_tokenizers.path("piece_bpe_32k.model")
+    parts = ["".join(rng.choice("abcdeéßж01") for _ in range(rng.randrange(1, 60))) for _ in range(300)] + [" ", "▁", "a▁b", "\ud800x", "😀", " the", "international" * 3]
+    keys = np.array([rng.getrandbits(32) for _ in parts], np.uint32)
+    for dropout in (0.0, 0.1, 0.5, 1.0):
+        codec = pieces.Codec(path, dropout)
+        assert codec.directs(parts, keys) == [codec.direct(p, k) for p, k in zip(parts, keys.tolist())]
+    codec, alone, calls = pieces.Codec(path), pieces.Codec.direct, []
+    monkeypatch.setattr(pieces.Codec, "direct", lambda self, part, key: calls.append(part) or alone(self, part, key))
+    text = " ".join(f"word{i}" for i in range(50)) + " a▁b"
+    assert codec.decode(np.frombuffer(codec.encode(text), "<u4")) == text and calls == ["▁b"]
+
+
 def test_plans_dont_spell_out_the_tables_of_words(spark):
     rows = lines.all_lines(spark.createDataFrame([(1, "a b c\nd e f"), (2, "a b c d")], "doc_id long, text string"))
     common, _ = lines.commonness(rows)
