@@ -54,7 +54,7 @@ def write(pages: DataFrame, chunk: int = CHUNK, revisit_from: int = REVISIT_FROM
     base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
     firsts = base.select("page_id", "digest", "size").where(F.col("size") >= revisit_from).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     firsts, _ = cut(firsts, "digests")
-    shared = maybe_in(F.xxhash64("digest"), firsts.select(F.xxhash64("digest").alias("x")))
+    shared, _ = maybe_in(F.xxhash64("digest"), firsts.select(F.xxhash64("digest").alias("x")))
     alone = base.where(~shared).withColumn("first", F.lit(None).cast("long"))
     known = alone.select("page_id", "url", "payload", "digest", "first").union(base.where(shared).join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", "first"))
 

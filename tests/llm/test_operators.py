@@ -473,6 +473,18 @@ def test_warc_archives_roll_and_rows_stay_small(spark):
     assert got.count() == 3000 and got.where("record_type = 'revisit' and refers_to = 1").count() == 1999
 
 
+def test_warc_pages_alone_and_shared(spark):
+    """Pages that the bit set shows to be alone and those that are joined end up in the same archives, none twice."""
+    pages = spark.range(600).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.when(F.col("id") < 400, F.col("id")).otherwise(F.col("id") % 50 + 1000).cast("string"), 40).alias("html"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read(warc.write(pages), with_data=False).where("is_last").collect()}
+    text = {r.page_id: r.html for r in pages.collect()}
+    first = {}
+    for i in sorted(text):
+        first.setdefault(text[i], i)
+    big = lambda i: len(text[i]) >= 100
+    assert got == {i: ("revisit", first[text[i]]) if big(i) and first[text[i]] < i else ("response", None) for i in text}
+
+
 def test_broken_archives(spark):
     good = b"".join(bytes(r.data) for r in warc.write(spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")).orderBy("seq").collect())
     for bad in (good[:-30], b"junk" * 1000, good.replace(b"text", b"tExt"), b"WARC/1.1\r\n" + b"x" * 5000):
