@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -19,11 +20,14 @@ SHORT = 15
 MIN_WORDS = 1
 #: Index entries that may share a key before the key is salted.
 GROUP = 50_000
-#: Keys by which a line meets a leader at most.
-LEADS = 16
+#: Of lines with more neighbouring words in their prefix than this, those are keys by which they meet leaders that a hash
+#: chooses, so many to twice as many: near copies choose the same.
+LEADS = 3
 #: Bytes of the bit set that keeps lines without a candidate out of a shuffle. A corpus with more candidates than it
 #: tells apart shuffles more lines; the exact join that follows decides.
 FILTER = 1 << 18
+#: True for every row. A filter with it doesn't move below a shuffle, so that one shuffle serves two readers.
+STAYS = "spark_partition_id() >= 0"
 #: Blanks that end a word beside U+0020.
 BLANKS = "\t\x0b\x0c\r"
 
@@ -39,17 +43,17 @@ def hashes(line: Column) -> Column:
 
 
 def constant(rows: DataFrame, size: int) -> tuple[Column, str]:
-    """Rows (b, v), one for each b at most, as a constant of `size` bytes: v, of 0 to 127, or 0 for every b below size;
+    """Rows (b, v), one for each b at most, as a constant array of `size` bytes: v, of 0 to 127, or 0 for every b below size;
     and the place of the table that holds it. It is a subquery, as every text of a plan would spell out a literal."""
     every = rows.select(F.col("b").cast("long").alias("b"), F.col("v").cast("int").alias("v")).union(rows.sparkSession.range(size).select(F.col("id").alias("b"), F.lit(0).alias("v")))
     one = every.groupBy("b").agg(F.sum("v").alias("v")).agg(F.sort_array(F.collect_list(F.struct("b", "v"))).alias("all"))
-    bytes_, place = cut(one.select(F.array_join(F.transform("all", lambda x: F.char(x["v"])), "").cast("binary").alias("bytes")), "line-constant")
+    bytes_, place = cut(one.select(F.transform("all", lambda x: x["v"].cast("tinyint")).alias("bytes")), "line-constant")
     return bytes_.scalar(), place
 
 
 def at(constant: Column, place: Column) -> Column:
     """The byte of a constant at a place from 0."""
-    return F.ascii(F.call_function("substring", constant, place + 1, F.lit(1)).cast("string"))
+    return F.coalesce(F.get(constant, place).cast("int"), F.lit(0))  # never null: what holds it is sorted as longs
 
 
 def commonness(lines: DataFrame) -> tuple[Column, str]:
@@ -60,11 +64,11 @@ def commonness(lines: DataFrame) -> tuple[Column, str]:
     return constant(counted.select("b", F.least(F.lit(127), F.floor(F.log2("n") * 4)).alias("v")), BUCKETS)
 
 
-def ranked(line: Column, common: Column) -> Column:
-    """A line's distinct words as sorted longs, rarest first: how common the word's bucket is, over 52 bits of the
+def ranked(words: Column, common: Column) -> Column:
+    """A line's distinct words (hashes) as sorted longs, rarest first: how common the word's bucket is, over 52 bits of the
     word's hash. Any one order of all words gives exact results; this one puts rare words into the prefixes."""
     level = lambda h: F.call_function("shiftleft", at(common, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), F.lit(52))
-    return F.sort_array(F.transform(hashes(line), lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 12))))
+    return F.sort_array(F.transform(words, lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 12))))
 
 
 def texts(docs: DataFrame) -> tuple[Column, Column]:
@@ -98,10 +102,11 @@ def ranked_lines(lines: DataFrame, common: Column, threshold: float, min_words:
     n = F.col("n")
     return (
         lines.where(F.length("line") >= 2 * min_words - 1)
-        .select("x", "y", "doc_id", "no", "line", common.alias("common"))  # lambdas take no subquery itself
-        .select("x", "y", "doc_id", "no", ranked(F.col("line"), F.col("common")).alias("s"))
-        .select("x", "y", "doc_id", "no", F.size("s").alias("n"), "s")
-        .select("x", "y", "doc_id", "no", "n", *parity(F.col("s")), F.slice("s", 1, n - least_overlap(n, threshold) + 2).alias("p"))
+        .select("x", "y", "doc_id", "no", hashes(F.col("line")).alias("h"), F.spark_partition_id().alias("part"))
+        .where("part >= 0")  # always; it keeps the two apart, or each row would take a copy of the constant along
+        .select("x", "y", "doc_id", "no", "h", common.alias("common"))  # lambdas take no subquery itself
+        .select("x", "y", "doc_id", "no", F.size("h").alias("n"), *parity(F.col("h")), ranked(F.col("h"), F.col("common")).alias("s"))
+        .select("x", "y", "doc_id", "no", "n", "bits", "more_bits", F.slice("s", 1, n - least_overlap(n, threshold) + 2).alias("p"))
         .groupBy("x", "y")
         .agg(F.min(F.struct("doc_id", "no")).alias("f"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("more_bits").alias("more_bits"), F.first("p").alias("p"), F.count("*").alias("copies"))
         .where(n >= min_words)  # here, as a filter before the grouping would rank every line's words twice
@@ -111,44 +116,56 @@ def ranked_lines(lines: DataFrame, common: Column, threshold: float, min_words:
 
 def salts(word: Column) -> Column:
     """Parts of a key whose rarer word is this one: by its bucket's count, rounded up."""
-    return F.ceil(F.pow(F.lit(2.0), F.shiftrightunsigned(word, 52) / F.lit(4.0) + F.lit(1 / 4)) / F.lit(GROUP)).cast("int")
+    level = F.shiftrightunsigned(word, 52)
+    return F.when(level < int(4 * math.log2(GROUP)) - 1, 1).otherwise(F.ceil(F.pow(F.lit(2.0), level / F.lit(4.0) + F.lit(1 / 4)) / F.lit(GROUP)).cast("int"))
 
 
 def salt(salts: Column) -> Column:
     return F.when(salts > 1, F.pmod(F.xxhash64("x", F.lit(3)), salts).cast("int")).otherwise(-1)
 
 
+def key(t: Column, salt: Column) -> Column:
+    """Both as one long, which sorts by its bits alone. Keys that fall together only add pairs to compare."""
+    return F.when(salt < 0, t).otherwise(F.xxhash64(t, salt))
+
+
 def entries(once: DataFrame, threshold: float, keep: list[str]) -> DataFrame:
     """Prefix entries of lines: key t and salt (of so many salts), place i of the entry's word in the line's order and
     the columns in `keep`. Similar lines share a word of their prefixes of n - overlap + 1 words, and two words of
     prefixes longer by one; short lines, whose prefixes hold common words too, use the second rule, so that their
-    keys are rare."""
-    n, ones, k = F.col("n"), F.col("ones"), F.col("k")
+    keys are rare. The two kinds are made apart: in one, the code is too long for the JVM to compile."""
+    n, u, v, size = F.col("n"), F.col("u"), F.col("v"), F.size("p")
     # a line of at most SHORT * threshold words has no similar line above SHORT: only lines between need both kinds
     # of entry; one of at most 1 / threshold words may share a single word with a similar line
-    single = F.when((n > int(SHORT * threshold)) | (n <= int(1 / threshold + 1e-9)), n - least_overlap(n, threshold) + 1).otherwise(0)
-    double = F.when(n <= SHORT, F.expr("size(p) * (size(p) - 1) div 2").cast("int")).otherwise(0)
-    found = (
-        once.select(*keep, "p", single.alias("ones"), double.alias("twos"))
-        .select(*keep, "p", "ones", F.explode(F.sequence(F.lit(1), ones + F.col("twos"))).alias("k"))
-        # after the single words come the pairs (1, 2), (1, 3), (2, 3), (1, 4), ...: the greater place, then the lesser
-        .withColumn("q", F.greatest(k - ones, F.lit(1)))
-        .withColumn("hi", F.when(k <= ones, k).otherwise(F.ceil((F.sqrt(F.col("q") * 8 + 1) - 1) / 2).cast("int") + 1))
-        .withColumn("lo", F.when(k <= ones, k).otherwise(F.col("q") - F.expr("(hi - 1) * (hi - 2) div 2").cast("int")))
-        .select(*keep, F.col("hi").alias("i"), F.element_at("p", F.col("lo")).alias("u"), F.element_at("p", F.col("hi")).alias("v"))
+    alone = once.where((n > int(SHORT * threshold)) | (n <= int(1 / threshold + 1e-9)))
+    single = alone.select(*keep, F.posexplode(F.slice("p", 1, n - least_overlap(n, threshold) + 1)).alias("i", "u")).select(*keep, (F.col("i") + 1).alias("i"), "u", u.alias("t"))
+    # the pairs (1, 2), (1, 3), (2, 3), (1, 4), ...: the greater place, then the lesser
+    double = (
+        once.where((n <= SHORT) & (size > 1))
+        .select(*keep, "p", F.explode(F.sequence(F.lit(1), F.expr("size(p) * (size(p) - 1) div 2").cast("int"))).alias("q"))
+        .withColumn("i", F.ceil((F.sqrt(F.col("q") * 8 + 1) - 1) / 2).cast("int") + 1)
+        .withColumn("lo", F.col("q") - F.expr("(i - 1) * (i - 2) div 2").cast("int"))
+        .select(*keep, "i", F.element_at("p", F.col("lo")).alias("u"), F.element_at("p", F.col("i")).alias("v"))
+        .select(*keep, "i", "u", F.xxhash64(u, v).alias("t"))  # the rarer word comes first
     )
-    t = F.when(F.col("u") == F.col("v"), F.col("u")).otherwise(F.xxhash64("u", "v"))  # the rarer word comes first
-    return found.select(*keep, "i", t.alias("t"), salts(F.col("u")).alias("salts")).select(*keep, "i", "t", "salts", salt(F.col("salts")).alias("salt"))
+    return single.union(double).select(*keep, "i", "t", salts(u).alias("salts")).select(*keep, "i", "t", "salts", salt(F.col("salts")).alias("salt"))
+
+
+def indexed(threshold: float) -> Column:
+    """Of entries those by which a line meets lines that are no shorter: what it shares with them is at least
+    2 t / (1 + t) of its own words, so the first shared word (or the second) is that much nearer to the front."""
+    n = F.col("n")
+    most = n - F.ceil(n * F.lit(2 * threshold / (1 + threshold)) - F.lit(1e-9)).cast("int") + F.when(n <= SHORT, 2).otherwise(1)
+    return F.col("i") <= most
 
 
-def parity(s: Column) -> list[Column]:
-    """64 and 31 bits (a set sign would count more than once), each telling whether an odd number of a line's words fall
-    on it: two lines whose bits differ in k places differ in at least k words."""
-    place = lambda h: F.pmod(h.bitwiseAND(F.lit((1 << 52) - 1)), F.lit(95)).cast("int")
-    places = F.transform(s, place)
-    flip = lambda one: lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, k))
-    first = F.aggregate(F.filter(places, lambda k: k < 64), F.lit(0).cast("long"), flip(F.lit(1).cast("long")))
-    return [first.alias("bits"), F.aggregate(F.filter(places, lambda k: k >= 64), F.lit(0), flip(F.lit(1))).alias("more_bits")]
+def parity(h: Column) -> list[Column]:
+    """64 bits for the words with the highest bit of their hash, 64 for the others, each telling whether an odd number of a
+    line's words fall on it: two lines whose bits differ in k places differ in at least k words."""
+    place = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
+    flip = lambda high: lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.shiftrightunsigned(h if high else F.bitwise_not(h), 63), place(h)))
+    zero = F.lit(0).cast("long")
+    return [F.aggregate(h, zero, flip(True)).alias("bits"), F.aggregate(h, zero, flip(False)).alias("more_bits")]
 
 
 def promising(a: str, b: str, threshold: float, first: bool) -> Column:
@@ -201,14 +218,24 @@ def leaders(once: DataFrame, threshold: float) -> DataFrame:
     one before, and of the earlier ones that with the most copies, where the filters let it. So copies that differ a
     little cost a few comparisons each, however many there are. It need not find all: what it misses, the prefix join
     finds."""
-    u, v = F.element_at("p", F.col("k")), F.element_at("p", F.least(F.col("k") + 1, F.size("p")))
-    keys = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(LEADS), F.size("p") - 1)))).alias("k")
+    parts = int(once.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    u, pairs = lambda k: F.get("p", k), F.greatest(F.lit(1), F.size("p") - 1)
+    t = lambda k: F.xxhash64(u(k), F.coalesce(u(k + 1), u(k)))
     own = ["x", "doc_id", "no", "n", "bits", "more_bits", "copies"]
-    found = once.select(*own, "p", keys).select(*own, F.xxhash64(u, v).alias("t"), salt(salts(u)).alias("salt"), F.lit(1).alias("i"))
-    line, w = F.struct("x", "n", "i", "bits", "more_bits"), Window.partitionBy("t", "salt").orderBy("doc_id", "no", "x")
+    # one in 2^j, so that what a line of fewer words chooses holds what one of more words does
+    rest = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), F.floor(F.log2(pairs / F.lit(LEADS))).cast("int"))) - 1
+    few = once.select(*own, "p", rest.alias("rest"), F.sequence(F.lit(0), pairs - 1).alias("places"))
+    few = few.select(*own, "p", F.explode(F.filter("places", lambda k: F.shiftrightunsigned(t(k), 20).bitwiseAND(F.col("rest")) == 0)).alias("k"))
+    found = few.select(*own, key(t(F.col("k")), salt(salts(u(F.col("k"))))).alias("t")).repartition(parts, "t")
+    # keys that come up once are counted away, as the window takes long over each; the condition names all columns, so
+    # that both read one shuffle
+    found = found.where(F.expr(STAYS) | F.coalesce(*own).isNull())
+    found = found.join(found.groupBy(F.col("t").alias("shared")).agg(F.count("*").alias("lines")).where("lines > 1"), F.col("t") == F.col("shared"), "left_semi").withColumn("i", F.lit(1))
+    line, w = F.struct("x", "n", "i", "bits", "more_bits"), Window.partitionBy("t").orderBy("doc_id", "no", "x")
     chosen = {"first": F.first(line).over(w), "before": F.lag(line).over(w), "most": F.max(F.struct("copies", line.alias("line"))).over(w)["line"]}
     found = found.withColumns(chosen)
-    held = [F.when((F.col(f"{c}.x") != F.col("x")) & promising("", f"{c}.", threshold, True), F.col(f"{c}.x")) for c in chosen]
+    held = {c: F.when((F.col(f"{c}.x") != F.col("x")) & promising("", f"{c}.", threshold, True), F.col(f"{c}.x")).alias(c) for c in chosen}
+    found = found.select("x", *held.values()).where(F.coalesce(*held).isNotNull())
     return found.select("x", F.explode(F.array_compact(F.array_distinct(F.array(*held)))).alias("o")).distinct()
 
 
@@ -235,14 +262,15 @@ def dead_lines(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
         dead = verified(pairs, lines, threshold)
         keep = ["x", "doc_id", "no", "n", "bits", "more_bits", "dead"]
         left = once.join(dead.select("x").distinct().withColumn("dead", F.lit(True)), "x", "left").withColumn("dead", F.coalesce("dead", F.lit(False)))
-        all_ = entries(left, threshold, keep).drop("salts").repartition(parts, "t", "salt")
-        a, b = all_.alias("a"), all_.alias("b")  # one shuffle for both sides
-        later = F.struct("a.doc_id", "a.no") > F.struct("b.doc_id", "b.no")
-        open_ = (F.col("a.x") < F.col("b.x")) & F.when(later, ~F.col("a.dead")).otherwise(~F.col("b.dead")) & promising("a.", "b.", threshold, True)
+        all_ = entries(left, threshold, keep).select(*keep, "i", key(F.col("t"), F.col("salt")).alias("t")).repartition(parts, "t")
+        a, b = all_.where(indexed(threshold) & F.expr(STAYS) | ~F.expr(STAYS)).alias("a"), all_.where(STAYS).alias("b")  # one shuffle for both sides
+        later = (F.col("a.doc_id") > F.col("b.doc_id")) | (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.no") > F.col("b.no"))
+        shorter = (F.col("a.n") < F.col("b.n")) & (F.col("a.x") != F.col("b.x")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.x") < F.col("b.x"))
+        open_ = promising("a.", "b.", threshold, True) & shorter & F.when(later, ~F.col("a.dead")).otherwise(~F.col("b.dead"))
         pair = F.when(later, F.struct(F.col("a.x").alias("x"), F.col("b.x").alias("o"))).otherwise(F.struct(F.col("b.x").alias("x"), F.col("a.x").alias("o")))
-        rest = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.salt") == F.col("b.salt")) & open_).select(pair.alias("pair")).select("pair.*")
-        # a line under a salted key also meets the other salts, one by one
-        salted = entries(left.where(F.exists("p", lambda w: salts(w) > 1)), threshold, keep).where("salt >= 0")
+        rest = a.join(b, (F.col("a.t") == F.col("b.t")) & open_).select(pair.alias("pair")).select("pair.*")
+        # a line under a salted key also meets the other salts, one by one; the last word of a prefix is its commonest
+        salted = entries(left.where(salts(F.element_at("p", F.size("p"))) > 1), threshold, keep).where("salt >= 0")
         spread = salted.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).where("to < salt").drop("salt").withColumnRenamed("to", "salt")
         c, d = spread.alias("a"), salted.alias("b")
         apart = F.col("a.x") != F.col("b.x")

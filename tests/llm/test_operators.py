@@ -150,6 +150,32 @@ def test_lines_against_brute_force(spark, monkeypatch, group):
     assert {r.doc_id: r.text for r in lines.without_repeats(docs).collect()} == {d: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[d]) for d, t in rows}
 
 
+def test_entries_compile_and_find_pairs_from_the_shorter_side(spark):
+    """No generated method is above the 8,000 bytes that the JVM compiles, and each similar pair shares a key that is among
+    those of the shorter line's front."""
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(300)}" for _ in range(n)] for n in (1, 2, 4, 5, 9, 10, 12, 13, 14, 15, 16, 17, 20, 25, 40, 90)]
+    text = {" ".join(dict.fromkeys(b)) for b in base}
+    for b in base:
+        for _ in range(12):
+            text.add(" ".join(dict.fromkeys([w for w in b if rng.random() > 0.08] + [f"x{rng.randrange(9)}" for _ in range(rng.randrange(3))])))
+    rows = lines.all_lines(spark.createDataFrame([(i, t) for i, t in enumerate(sorted(text - {""}))], "doc_id long, text string"))
+    common, _ = lines.commonness(rows)
+    once, _ = cut(lines.ranked_lines(rows, common, 0.8, 1), "once")
+    found = lines.entries(once, 0.8, ["x", "n", "doc_id"])
+    words = {r.doc_id: (r.x, set(r.line.split())) for r in rows.collect()}
+    keys, front = defaultdict(set), defaultdict(set)
+    for r in found.withColumn("front", lines.indexed(0.8)).collect():
+        keys[r.doc_id].add(r.t)
+        if r.front:
+            front[r.doc_id].add(r.t)
+    similar = [(a, b) for a in words for b in words if a != b and len(words[a][1]) <= len(words[b][1]) and len(words[a][1] & words[b][1]) >= 0.8 * len(words[a][1] | words[b][1])]
+    assert len(similar) > 100 and all(front[a] & keys[b] for a, b in similar) and sum(map(len, front.values())) < 0.8 * sum(map(len, keys.values()))
+    code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(found._jdf.queryExecution().executedPlan())
+    stats = [code.apply(k)._3() for k in range(code.size())]
+    assert stats and max(s.maxMethodCodeSize() for s in stats) < 8000
+
+
 def test_network_learns_and_is_calibrated():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 6))
