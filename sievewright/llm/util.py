@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from typing import TypeVar
 
 import pyarrow as pa
@@ -105,14 +106,23 @@ def held(module: str, key: tuple, make: Callable[[], T]) -> T:
     return _held[0][2]
 
 
+def let_go(module: str) -> None:
+    """Drops what another module's operator holds in this worker, and gives its memory back to the system. A function of
+    its own, as one within another is sent to the workers with copies of the lists that it names."""
+    if _held and _held[0][0] != module:
+        _held.clear()
+        gc.collect()
+        with suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], ddl: str) -> DataFrame:
     """mapInArrow for functions that yield dicts of columns in the order of ddl."""
     schema = struct(ddl)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _held and _held[0][0] != fn.__module__:
-            _held.clear()
+        let_go(fn.__module__)
         for out in fn(batches):
             arrays = [pa.array(out[f.name], type=f.type) for f in arrow]
             if len(arrays[0]):
