@@ -97,8 +97,8 @@ def least_overlap(n: Column, threshold: float) -> Column:
 
 
 def ranked_lines(lines: DataFrame, common: Column, threshold: float, min_words: int) -> DataFrame:
-    """The distinct lines: identity x and y, first place (doc_id, no), size n, parity bits and p, the prefix of
-    n - overlap + 2 words."""
+    """The distinct lines: identity x, first place (doc_id, no), size n, parity bits, p, the prefix of
+    n - overlap + 2 words, and into how many parts its commonest word, the last, salts a key."""
     n = F.col("n")
     return (
         lines.where(F.length("line") >= 2 * min_words - 1)
@@ -110,7 +110,7 @@ def ranked_lines(lines: DataFrame, common: Column, threshold: float, min_words:
         .groupBy("x", "y")
         .agg(F.min(F.struct("doc_id", "no")).alias("f"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("more_bits").alias("more_bits"), F.first("p").alias("p"), F.count("*").alias("copies"))
         .where(n >= min_words)  # here, as a filter before the grouping would rank every line's words twice
-        .select("x", F.col("f.doc_id").alias("doc_id"), F.col("f.no").alias("no"), "n", "bits", "more_bits", "p", "copies")
+        .select("x", F.col("f.doc_id").alias("doc_id"), F.col("f.no").alias("no"), "n", "bits", "more_bits", "p", "copies", salts(F.get("p", F.size("p") - 1)).alias("most_salts"))
     )
 
 
@@ -124,6 +124,12 @@ def salt(salts: Column) -> Column:
     return F.when(salts > 1, F.pmod(F.xxhash64("x", F.lit(3)), salts).cast("int")).otherwise(-1)
 
 
+def salted_lines(once: DataFrame) -> DataFrame:
+    """Lines that have entries under salted keys. The filter is on a number as it is stored, so that a scan passes over
+    the row groups without such lines."""
+    return once.where(F.col("most_salts") > 1)
+
+
 def key(t: Column, salt: Column) -> Column:
     """Both as one long, which sorts by its bits alone. Keys that fall together only add pairs to compare."""
     return F.when(salt < 0, t).otherwise(F.xxhash64(t, salt))
@@ -160,12 +166,19 @@ def indexed(threshold: float) -> Column:
 
 
 def parity(h: Column) -> list[Column]:
-    """64 bits for the words with the highest bit of their hash, 64 for the others, each telling whether an odd number of a
-    line's words fall on it: two lines whose bits differ in k places differ in at least k words."""
+    """64 bits for the words with the highest bit of their hash, 64 for all words, each telling whether an odd number of
+    these words of a line falls on it. Both together give the bits of the words without the highest bit, for less than
+    these cost: see `differing`."""
     place = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
-    flip = lambda high: lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.shiftrightunsigned(h if high else F.bitwise_not(h), 63), place(h)))
-    zero = F.lit(0).cast("long")
-    return [F.aggregate(h, zero, flip(True)).alias("bits"), F.aggregate(h, zero, flip(False)).alias("more_bits")]
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    high = F.aggregate(h, zero, lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.shiftrightunsigned(h, 63), place(h))))
+    return [high.alias("bits"), F.aggregate(h, zero, lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", one, place(h)))).alias("more_bits")]
+
+
+def differing(a: str, b: str) -> Column:
+    """In how many parity bits, of 64 for either half of the words, two lines differ: in at least so many words they do."""
+    high, every = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in ("bits", "more_bits"))
+    return F.bit_count(high) + F.bit_count(high.bitwiseXOR(every))
 
 
 def promising(a: str, b: str, threshold: float, first: bool) -> Column:
@@ -176,8 +189,7 @@ def promising(a: str, b: str, threshold: float, first: bool) -> Column:
     need = F.ceil((n + m) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
     alone = (n > SHORT) | (m > SHORT)
     before = F.when(alone, 1).otherwise(F.least(i, j)) if first else F.least(i, j)
-    bits = lambda c: F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")))
-    return (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - F.lit(1e-9)) & (before + F.least(n - i, m - j) >= need) & (bits("bits") + bits("more_bits") <= n + m - 2 * need)
+    return (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - F.lit(1e-9)) & (before + F.least(n - i, m - j) >= need) & (differing(a, b) <= n + m - 2 * need)
 
 
 def maybe_in(x: Column, wanted: DataFrame) -> tuple[Column, str]:
@@ -269,8 +281,8 @@ def dead_lines(lines: DataFrame, threshold: float, min_words: int) -> DataFrame:
         open_ = promising("a.", "b.", threshold, True) & shorter & F.when(later, ~F.col("a.dead")).otherwise(~F.col("b.dead"))
         pair = F.when(later, F.struct(F.col("a.x").alias("x"), F.col("b.x").alias("o"))).otherwise(F.struct(F.col("b.x").alias("x"), F.col("a.x").alias("o")))
         rest = a.join(b, (F.col("a.t") == F.col("b.t")) & open_).select(pair.alias("pair")).select("pair.*")
-        # a line under a salted key also meets the other salts, one by one; the last word of a prefix is its commonest
-        salted = entries(left.where(salts(F.element_at("p", F.size("p"))) > 1), threshold, keep).where("salt >= 0")
+        # a line under a salted key also meets the other salts, one by one
+        salted = entries(salted_lines(left), threshold, keep).where("salt >= 0")
         spread = salted.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).where("to < salt").drop("salt").withColumnRenamed("to", "salt")
         c, d = spread.alias("a"), salted.alias("b")
         apart = F.col("a.x") != F.col("b.x")

@@ -810,3 +810,27 @@ def test_workers_let_go_of_what_another_operator_holds(spark):
         return {r.n for r in map_batches(spark.range(64).repartition(8), count, "n int").collect()}
 
     assert run(True) == {1} and run(False) == {0}
+
+
+def test_lines_without_salted_keys_are_passed_over(spark, monkeypatch):
+    """Whether a line has salted keys is stored, right for every line, and is a filter of the scan."""
+    monkeypatch.setattr(lines, "GROUP", 16)
+    rng = random.Random(4)
+    text = [" ".join(rng.choice([f"rare{i}", f"w{i % 3}"]) for _ in range(rng.randrange(1, 40))) for i in range(200)]
+    rows = lines.all_lines(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"))
+    common, _ = lines.commonness(rows)
+    once, _ = cut(lines.ranked_lines(rows, common, 0.8, 1), "once")
+    found = lines.salted_lines(once)
+    want = {r.x for r in lines.entries(once, 0.8, ["x"]).where("salt >= 0").collect()}
+    assert want <= {r.x for r in found.collect()} and 0 < found.count() < once.count()
+    assert "GreaterThan(most_salts,1)" in found._jdf.queryExecution().toString()
+
+
+def test_parity_bits_tell_in_how_many_words_lines_differ(spark):
+    rng = random.Random(6)
+    sets = [sorted({rng.getrandbits(64) - (1 << 63) for _ in range(rng.randrange(0, 60))}) for _ in range(30)]
+    got = spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "k int, h array<long>").select("k", *lines.parity(F.col("h")))
+    both = got.toDF("k", "a_bits", "a_more_bits").crossJoin(got.toDF("j", "b_bits", "b_more_bits")).select("k", "j", lines.differing("a_", "b_").alias("d"))
+    for r in both.collect():
+        odd = Counter((h >= 0, h & 63) for h in set(sets[r.k]) ^ set(sets[r.j]))
+        assert r.d == sum(n % 2 for n in odd.values())
